@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgraph.llm.common import PrefixHash, arrow_schema, cut, gathered, map_tables, mixed, stored, text_buffer, text_column
+from revgraph.llm.common import PrefixHash, arrow_schema, cut, gathered, map_tables, mixed, sliced, stored, text_buffer, text_column
 
 WINDOW, GRAM = 400, 64
 HOT = 20_000
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 #: Ids up to which a list of documents is broadcast (8 bytes each); beyond, it joins by a shuffle.
 BROADCAST_IDS = 1_000_000
 _LOW = np.uint64((1 << 24) - 1)
@@ -199,7 +199,7 @@ def _contexts(window: int):
     schema = arrow_schema("kh long, doc_id long, first int, anchor int, single boolean, hot boolean, bytes binary")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for doc_id, text, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 raw = text.as_py().encode()
@@ -227,7 +227,7 @@ def _settle(window: int):
 
     def run(batches):
         held = None
-        for t in gathered(batches, 4 << 20, 1 << 30):
+        for t in gathered(batches, 2 << 20, 1 << 30):
             held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
             kh = np.asarray(held.column("kh"))
             whole = int(np.searchsorted(kh, kh[-1]))  # the last group may go on
@@ -261,9 +261,9 @@ def _few(ids: DataFrame):
 
 def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, start, stop): byte ranges of repeated windows in texts (doc_id, text), one row for each different text."""
-    spans = stored(map_tables(texts, _anchor_rows(window, gram), "doc_id long, kh long, sh long, first int, last int, p int", 3 << 20), "spans")
+    spans = stored(map_tables(texts, _anchor_rows(window, gram), "doc_id long, kh long, sh long, first int, last int, p int"), "spans")
     again = spans.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh")
-    shared = cut(spans.join(again, "kh", "left_semi"))
+    shared = cut(spans.join(_few(cut(again)), "kh", "left_semi"))  # both sides cut, so a hot anchor's partition can be split
     classes = cut(shared.groupBy("kh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "last", "p")).alias("rep")))
     whole = shared.join(classes.where("n > 1").select("kh", "sh"), ["kh", "sh"], "left_semi").select("doc_id", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
     mixed_groups = classes.groupBy("kh").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("kh", (F.col("kinds") > hot).alias("hot"))
@@ -309,7 +309,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     schema = arrow_schema(ddl)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for key, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 raw = text.as_py().encode()
