@@ -63,7 +63,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def gathered(batches, limit_bytes: int = 4 << 20, limit_rows: int = 20_000):
+def gathered(batches, limit_bytes: int = 1 << 20, limit_rows: int = 20_000):
     """Join small Arrow batches up to the given size: fewer, larger steps of vector work in bounded memory."""
     held, rows, size = [], 0, 0
     for batch in batches:
@@ -79,12 +79,19 @@ def gathered(batches, limit_bytes: int = 4 << 20, limit_rows: int = 20_000):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def sliced(batches, rows: int = 200):
+    """Batches of few rows, for steps that turn nested columns into Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(","))])
 
 
-def map_tables(df: DataFrame, step, ddl: str, limit_bytes: int = 4 << 20, limit_rows: int = 20_000) -> DataFrame:
+def map_tables(df: DataFrame, step, ddl: str, limit_bytes: int = 1 << 20, limit_rows: int = 20_000) -> DataFrame:
     """mapInArrow with step(pa.Table) -> list of columns in the order of ddl, or None for no rows."""
     schema = arrow_schema(ddl)
 

@@ -7,11 +7,12 @@ differ in D = (a + b) / 7 shingles at most; hence a set with more than D non-emp
 (non-empty - D) of them with any partner. Pigeonhole join: equal pieces of a band meet by their value; a document
 whose shared pieces are fewer than that bound has no partner and leaves.
 
-What stays is linked through verified pairs only. In every piece the smallest id leads; each (leader, member) pair is
-verified on the whole sets, and connected components follow. A piece whose documents then lie in one component is done;
-in the others further leaders follow, LEADERS at a time, against members of other components, until every pair that
-shares a piece is verified or already connected. So each round is linear in the pieces, no pair of different texts is
-lost and nothing is dropped.
+What stays is linked through verified pairs only: pairs whose fixed-size parity sketches (SKETCH bits) differ in D bits
+at most are compared on their whole sets. First every piece's smallest id is paired with its other documents, and
+connected components follow. A piece whose documents then lie in one component is done. In the others the sketches of
+all documents are compared in blocks inside a task, and pairs across components that pass go on to verification, at most
+ROUND partners of a document at a time, until no such pair is left. So rows stay linear in the pieces, hot pieces are
+cut into block pairs, no pair of different texts is lost and nothing is dropped.
 
 Bands double in size. The smaller set of a pair is of its own band; the larger one of that band or the next, so sets
 near a band's lower end are sketched in the band below too. Below SINGLE shingles every shingle is a piece of its own,
@@ -34,9 +35,10 @@ from revgraph.llm.common import PrefixHash, arrow_schema, components, cut, gathe
 
 WORDS = 5
 SINGLE, DENSE = 64, 512
-LEADERS = 32
-#: Ids up to which a list of documents is broadcast (8 bytes each); beyond, it joins by a shuffle.
-BROADCAST_IDS = 1_000_000
+ROUND, BLOCK, SKETCH = 32, 4096, 1024
+#: Ids up to which a list of documents is broadcast (8 bytes each), and rows up to which their sketches are
+#: (some 150 bytes each); beyond, they join by a shuffle.
+BROADCAST_IDS, BROADCAST_SKETCHES = 1_000_000, 100_000
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -88,7 +90,7 @@ def bands(n: int) -> list[tuple[int, int, int]]:
     out = [(own, n // 3)]
     if own and 3 * n <= 4 * ((1 << own) - 1):
         out.append((own - 1, ((1 << own) - 1 + n) // 7))
-    return [(b, 0 if 1 << b < SINGLE else (1 << b) * (4 if 1 << b < DENSE else 1), d) for b, d in out]
+    return [(b, 0 if 1 << b < SINGLE else (1 << b) * (2 if 1 << b < DENSE else 1), d) for b, d in out]
 
 
 def sketch(values: np.ndarray, band: int, pieces: int) -> np.ndarray:
@@ -116,16 +118,17 @@ def set_classes(read: DataFrame) -> DataFrame:
 
 
 def shared_pieces(texts: DataFrame) -> DataFrame:
-    """(piece, id, band) of the sketch pieces that two or more documents have, and the pieces each needs to share.
+    """(piece, id, band, need) of the sketch pieces that two or more documents have; need: how many each must share.
 
-    Tasks route packed arrays of 64-bit piece values to buckets by value, in which equal values meet; only shared
-    pieces leave the buckets.
+    Tasks route packed arrays of piece values to buckets by value, in which equal values meet; only shared pieces
+    leave the buckets. Values travel as the bucket and 48 bits: chance matches cost a verification, no result.
     """
-    bits = max(3, (partitions(texts.sparkSession) * 2 - 1).bit_length())
-    out = arrow_schema("bucket int, ids binary, counts binary, pieces binary")
+    bits = max(2, (partitions(texts.sparkSession) * 2 // 3).bit_length())
+    entry = np.dtype([("id", "<i8"), ("need", "<i4"), ("n", "<i4"), ("band", "i1")])
+    out = arrow_schema("bucket int, entries binary, pieces binary")
 
     def route(batches):
-        for t in gathered(batches, 3 << 20, 20_000):
+        for t in gathered(batches, 1 << 20, 20_000):
             values, offsets = shingle_sets(t.column("text"))
             ids = np.asarray(t.column("doc_id"))
             keys, owner = [], []
@@ -134,12 +137,11 @@ def shared_pieces(texts: DataFrame) -> DataFrame:
                     for band, pieces, d in bands(b - a):
                         made = sketch(values[a:b], band, pieces)
                         keys.append(made)
-                        owner.append((ids[i], band, len(made) - d, len(made)))
+                        owner.append((ids[i], len(made) - d, len(made), band))
             if not keys:
                 continue
-            counts = np.array([o[3] for o in owner])
-            meta = np.array([[o[0], o[1], o[2]] for o in owner], np.int64)
-            key, at = np.concatenate(keys), np.repeat(np.arange(len(owner)), counts)
+            meta = np.array(owner, entry)
+            key, at = np.concatenate(keys), np.repeat(np.arange(len(owner)), meta["n"])
             bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
             order = np.lexsort((at, bucket))
             key, at, bucket = key[order], at[order], bucket[order]
@@ -148,45 +150,94 @@ def shared_pieces(texts: DataFrame) -> DataFrame:
                 lo, hi = edges[b], edges[b + 1]
                 if hi > lo:
                     who, n = np.unique(at[lo:hi], return_counts=True)
-                    packed = key[lo:hi].view(np.uint8).reshape(-1, 8)[:, :7]  # the top byte is mostly the bucket's
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([meta[who].tobytes()], pa.binary()), pa.array([n.astype(np.int32).tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary())], schema=out)
+                    entries = meta[who]
+                    entries["n"] = n
+                    columns = b"".join(entries[c].tobytes() for c in entry.names)
+                    packed = key[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([columns], pa.binary()), pa.array([packed], pa.binary())], schema=out)
 
     made = arrow_schema("piece long, id long, band int, need long")
 
     def meet(t: pa.Table) -> pa.Table:
-        high = t.column("bucket")[0].as_py() << 56
-        meta, key = [], []
-        for ids, counts, packed in zip(t.column("ids"), t.column("counts"), t.column("pieces"), strict=True):
-            m = np.frombuffer(ids.as_py(), np.int64).reshape(-1, 3)
-            meta.append(np.repeat(m, np.frombuffer(counts.as_py(), np.int32), axis=0))
-            raw = np.frombuffer(packed.as_py(), np.uint8).reshape(-1, 7)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :7] = raw
+        bucket = t.column("bucket")[0].as_py()
+        parts, key = [], []
+        for columns, packed in zip(t.column("entries"), t.column("pieces"), strict=True):
+            raw = columns.as_py()
+            part, at = np.empty(len(raw) // entry.itemsize, entry), 0
+            for c in entry.names:
+                part[c] = np.frombuffer(raw, entry[c], len(part), at)
+                at += len(part) * entry[c].itemsize
+            parts.append(part)
+            narrow = np.frombuffer(packed.as_py(), np.uint8).reshape(-1, 6)
+            wide = np.zeros((len(narrow), 8), np.uint8)
+            wide[:, :6] = narrow
             key.append(wide.view(np.uint64)[:, 0])
-        meta, key = np.concatenate(meta), np.concatenate(key)
+        parts, key = np.concatenate(parts), np.concatenate(key)
+        at = np.repeat(np.arange(len(parts), dtype=np.int32), parts["n"])
         order = np.argsort(key, kind="stable")
-        key, meta = key[order], meta[order]
+        key, at = key[order], at[order]
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
         same[:-1] |= same[1:]
-        key, meta = key[same], meta[same]
-        return pa.table([(key | np.uint64(high & (1 << 64) - 1)).view(np.int64), meta[:, 0], meta[:, 1].astype(np.int32), meta[:, 2]], schema=made)
+        found = parts[at[same]]
+        return pa.table([key[same].view(np.int64) | bucket << 48, found["id"], found["band"].astype(np.int32), found["need"].astype(np.int64)], schema=made)
 
-    routed = texts.select("doc_id", "text").mapInArrow(route, "bucket int, ids binary, counts binary, pieces binary")
+    routed = texts.select("doc_id", "text").mapInArrow(route, "bucket int, entries binary, pieces binary")
     return routed.groupBy("bucket").applyInArrow(meet, "piece long, id long, band int, need long")
 
 
-def survivors(pieces: DataFrame) -> DataFrame:
-    """Pieces of documents that share enough of them in a band to have a partner there."""
-    enough = pieces.groupBy("id", "band").agg(F.count("*").alias("n"), F.first("need").alias("least")).where("n >= least").select("id", "band")
-    left = pieces.join(enough, ["id", "band"], "left_semi")
-    several = left.groupBy("piece").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("piece")
-    return left.join(several, "piece", "left_semi")
+def _few(ids: DataFrame):
+    """Broadcast a checkpointed list when its counted size allows, else leave the join to a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def shared_groups(texts: DataFrame) -> DataFrame:
+    """(piece, id, low, n): the documents that meet in a piece, for documents that share enough pieces to have a partner.
+
+    Pieces that the same documents share say the same, so one of them stands for all.
+    """
+    shared = stored(shared_pieces(texts), "pieces")
+    enough = cut(shared.groupBy("id", "band").agg(F.count("*").alias("n"), F.first("need").alias("least")).where("n >= least").select("id", "band"))
+    left = shared.join(_few(enough), ["id", "band"], "left_semi")
+    groups = left.groupBy("piece").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("mark2")).where("low <> high")
+    one = cut(groups.groupBy("low", "high", "n", "mark", "mark2").agg(F.min("piece").alias("piece")).select("piece", "low", "n"))
+    return left.select("piece", "id").join(_few(one), "piece").distinct()
 
 
 def _packed_sets(t: pa.Table):
+    """id, n, a parity sketch of SKETCH bits, and the set's sorted shingle hashes."""
     values, offsets = shingle_sets(t.column("text"))
-    return [t.column("doc_id").combine_chunks(), [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]]
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bits = np.bincount(owner * SKETCH + (mixed(values) >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64), minlength=len(sizes) * SKETCH) & 1
+    packed = np.packbits(bits.astype(np.uint8).reshape(-1, SKETCH), axis=1)
+    return [t.column("doc_id").combine_chunks(), sizes.astype(np.int64), [x.tobytes() for x in packed], [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]]
+
+
+def sketch_matrix(column) -> np.ndarray:
+    """Sketches as rows of 64-bit words."""
+    return text_buffer(column)[0].view(np.uint64).reshape(-1, SKETCH // 64)
+
+
+def passing(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Whether sketches and sizes allow a similarity of 3/4; x and y broadcast against each other."""
+    differ = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]), np.int32)
+    for w in range(x.shape[-1]):
+        differ += np.bitwise_count(x[..., w] ^ y[..., w])
+    return (differ <= (nx + ny) // 7) & (100 * np.minimum(nx, ny) >= 75 * np.maximum(nx, ny))
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sketches allow."""
+
+    def check(batches):
+        for b in batches:
+            ok = passing(sketch_matrix(b.column(2)), np.asarray(b.column(3)), sketch_matrix(b.column(4)), np.asarray(b.column(5)))
+            mask = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+
+    one, two = (sketches.select(F.col("id").alias(c), F.col("sketch").alias("s" + c), F.col("n").alias("n" + c)) for c in "ab")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(check, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -200,13 +251,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             last, one = None, None
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 raw = x.as_py()
-                if raw is not last and raw != last:
+                if raw != last:
                     last, one = raw, np.frombuffer(raw, np.uint64)
                 two = np.frombuffer(y.as_py(), np.uint64)
                 m, n = len(one), len(two)
-                if 100 * min(m, n) < 75 * max(m, n):
-                    keep.append(False)
-                    continue
                 at = np.searchsorted(one, two)
                 both = int((one[np.minimum(at, m - 1)] == two).sum())
                 keep.append(100 * both >= 75 * (m + n - both))
@@ -217,40 +265,89 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(check, ddl)
 
 
+def crossing(members: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
+    """(a, b, more): pairs of a piece across components that their sketches allow, partners turn * ROUND onward.
+
+    members: piece, id, n (of the piece), root. A document's partners are counted over all that its sketch allows, so
+    turns never overlap; more tells that a later turn has pairs.
+    """
+    few = sketches.count() <= BROADCAST_SKETCHES
+    drawn = sketches.withColumnRenamed("n", "size")
+    rows = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("piece", "i", "j", "block", "id", "root")
+    if not few:
+        rows = rows.join(drawn, "id")
+    rows = rows.repartition("piece", "i", "j").sortWithinPartitions("piece", "i", "j", "id")
+    if few:
+        rows = rows.join(F.broadcast(drawn), "id")
+    schema = arrow_schema("a long, b long, more boolean")
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        ids, roots, size, block = (np.asarray(t.column(c)) for c in ("id", "root", "size", "block"))
+        s = sketch_matrix(t.column("sketch"))
+        keys = np.stack([np.asarray(t.column(c), np.int64) for c in ("piece", "i", "j")])
+        edge = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0), [True]]))
+        out_a, out_b, more = [], [], False
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if (roots[lo:hi] == roots[lo]).all():
+                continue
+            i, j = keys[1, lo], keys[2, lo]
+            left, right = lo + np.flatnonzero(block[lo:hi] == i), lo + np.flatnonzero(block[lo:hi] == j)
+            for at in range(0, len(left), 256):
+                u = left[at : at + 256]
+                ok = np.concatenate([passing(s[u][:, None], size[u][:, None], s[right[k : k + 2048]][None], size[right[k : k + 2048]][None]) for k in range(0, len(right), 2048)], axis=1)
+                if i == j:
+                    ok &= ids[u][:, None] < ids[right][None]
+                place = np.cumsum(ok, axis=1)
+                ok &= roots[u][:, None] != roots[right][None]
+                more |= bool((ok & (place > (turn + 1) * ROUND)).any())
+                r, c = np.nonzero(ok & (place > turn * ROUND) & (place <= (turn + 1) * ROUND))
+                out_a.append(ids[u][r])
+                out_b.append(ids[right][c])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (out_a, out_b))
+        if more:
+            a, b = np.append(a, -1), np.append(b, -1)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((np.arange(len(a)) == len(a) - 1) & more)], schema=schema)
+
+    def run(batches):
+        held = None
+        for t in gathered(batches, 2 << 20, 1 << 30):
+            t = t.select(["piece", "i", "j", "block", "id", "root", "size", "sketch"])
+            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            last = tuple(held.column(c)[-1].as_py() for c in ("piece", "i", "j"))
+            whole = held.num_rows
+            piece, i, j = (np.asarray(held.column(c)) for c in ("piece", "i", "j"))
+            whole = int(np.flatnonzero((piece != last[0]) | (i != last[1]) | (j != last[2]))[-1:].sum() + 1) if (piece != last[0]).any() or (i != last[1]).any() or (j != last[2]).any() else 0
+            if whole:
+                yield compare(held.slice(0, whole).combine_chunks())
+                held = held.slice(whole).combine_chunks()
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    return rows.mapInArrow(run, "a long, b long, more boolean")
+
+
 def linked_ids(texts: DataFrame) -> DataFrame:
     """(id, root) of every document that is linked with another; texts: doc_id, text, one row for each class."""
-    pieces = cut(survivors(cut(survivors(cut(shared_pieces(texts))))))
-    ids = cut(pieces.select("id").distinct())
-    few = ids.count() <= BROADCAST_IDS
-    sets = stored(map_tables(texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["id"], "left_semi"), _packed_sets, "id long, shingles binary"), "sets")
-    members = pieces.select("piece", "id")
-    leaders = members.groupBy("piece").agg(F.min("id").alias("a"))
-    pairs = cut(members.join(leaders, "piece").where("id > a").select("a", F.col("id").alias("b")).distinct())
+    members = cut(shared_groups(texts))
+    ids = cut(members.select("id").distinct())
+    sets = stored(map_tables(texts.join(_few(ids), texts["doc_id"] == ids["id"], "left_semi"), _packed_sets, "id long, n long, sketch binary, shingles binary"), "sets")
+    sketches = sets.select("id", "n", "sketch")
+    pairs = plausible(members.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), sketches)
     links = cut(verified(pairs, sets))
-    tried = pairs
-    members = members.join(leaders, "piece").where("id > a").select("piece", "id")  # the leader's pairs are settled
-    while True:
-        roots = components(links)
-        mixed_up = members.join(roots, "id", "left").select("piece", "id", F.coalesce("root", "id").alias("root"))
-        open_pieces = mixed_up.groupBy("piece").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("piece")
-        members = cut(mixed_up.join(open_pieces, "piece", "left_semi"))
-        if not members.head(1):
-            return roots
-        # the next leaders of each open piece: the LEADERS smallest ids, by a bounded aggregate
-        front = members.groupBy("piece").agg(F.expr(f"slice(array_sort(collect_set(id)), 1, {LEADERS})").alias("front")) if members.groupBy("piece").count().agg(F.max("count")).first()[0] <= 10_000 else _front(members)
-        front = cut(front.select("piece", F.explode("front").alias("a")))
-        led = front.join(members.select("piece", F.col("id").alias("a"), F.col("root").alias("ra")), ["piece", "a"])
-        pairs = members.join(led, "piece").where("id > a and root <> ra").select("a", F.col("id").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        links = cut(links.unionByName(verified(pairs, sets)))
-        tried = cut(tried.unionByName(pairs))
-        members = members.select("piece", "id").join(front.withColumnRenamed("a", "id"), ["piece", "id"], "left_anti")
-
-
-def _front(members: DataFrame) -> DataFrame:
-    """The same for hot pieces: first the smallest ids of each of 64 parts of a piece, then the smallest of those."""
-    part = members.groupBy("piece", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.expr(f"slice(array_sort(collect_set(id)), 1, {LEADERS})").alias("some"))
-    return part.groupBy("piece").agg(F.expr(f"slice(array_sort(flatten(collect_list(some))), 1, {LEADERS})").alias("front"))
+    members = members.where("id > low").select("piece", "id", "n")  # the smallest ids' pairs are settled
+    turn, more = 0, True
+    roots = components(links)
+    while more:
+        rooted = members.join(roots, "id", "left").select("piece", "id", "n", F.coalesce("root", "id").alias("root"))
+        found = cut(crossing(rooted, sketches, turn).groupBy("a", "b").agg(F.max("more").alias("more")))
+        more = bool(found.where("more").head(1))
+        new = cut(verified(found.where("not more").select("a", "b"), sets))
+        if new.head(1):
+            links = cut(links.unionByName(new))
+            roots = components(links)
+        turn += 1
+    return roots
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -261,8 +358,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = full.groupBy("n_shingles", "mark", "mark2").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("high"))
     copies = cut(classes.where("class_id <> high").drop("high"))
     spare = cut(full.join(copies, ["n_shingles", "mark", "mark2"]).where("doc_id <> class_id").select("doc_id").distinct())
-    few = spare.count() <= BROADCAST_IDS
-    texts = read.where("doc_id is not null").join(F.broadcast(spare) if few else spare, "doc_id", "left_anti")
+    texts = read.where("doc_id is not null").join(_few(spare), "doc_id", "left_anti")
     roots = linked_ids(texts)
     return (
         slim.join(copies, ["n_shingles", "mark", "mark2"], "left")
@@ -275,5 +371,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """All columns of one document of each group: the smallest doc_id; rows without links stay."""
     gone = cut(near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(_few(gone), docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
