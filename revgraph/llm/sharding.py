@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgraph.llm.common import ranked, text_column
+from revgraph.llm.common import cut, ranked, text_column
 
 OVERHEAD = 16
 
@@ -26,7 +26,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, whole_share: float = 0.0
     rows, n, total = ranked(slim, ["digest", "doc_id"], "size")
     small = max(1, int(total / n_shards * whole_share))
     groups = rows.groupBy("digest").agg(F.min("start").alias("group_start"), F.sum("size").alias("bytes"), F.count("*").alias("n")).where(f"n > 1 and bytes <= {small}")
-    placed = rows.join(groups.select("digest", "group_start"), "digest", "left").withColumn("at", F.coalesce("group_start", "start"))
+    groups = cut(groups.select("digest", "group_start"))  # cut, so that a hot digest's side of the join can be split
+    placed = rows.join(groups, "digest", "left").withColumn("at", F.coalesce("group_start", "start"))
     # whole numbers in decimals: no rounding at 100 TB
     placed = placed.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(F.col("at").cast("decimal(30,0)") * n_shards / F.lit(max(1, total))).cast("int")))
     first = placed.groupBy("shard").agg(F.min("row_index").alias("first_row"))  # n_shards rows
