@@ -28,6 +28,8 @@ BROADCAST_FINGERPRINTS = 1_000_000
 
 def build_filter(fingerprints: np.ndarray, block_bits: int):
     """(block, sorted remainders, counts) of the filter's non-empty blocks."""
+    if not len(fingerprints):
+        return
     values, counts = np.unique(fingerprints.view(np.uint64), return_counts=True)
     shift = np.uint64(64 - block_bits)
     blocks = (values >> shift).astype(np.int64) if block_bits else np.zeros(len(values), np.int64)
