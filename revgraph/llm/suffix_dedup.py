@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -356,8 +357,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     def cleaned(texts, found):
         return [t if r is None or t is None else without(t.encode(), merged_ranges(np.array([x["start"] for x in r]), np.array([x["stop"] for x in r]))).decode("utf-8", "ignore") for t, r in zip(texts, found, strict=True)]
 
-    import pandas as pd
-
     def run(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series(cleaned(texts, found), dtype=object)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from revgraph.llm.common import text_column
 
 #: Bound of the labelled sample, and of the part of it that trains the chain.
-MAX_DOCS, MAX_CHAIN_DOCS = 6000, 1200
+MAX_DOCS, MAX_CHAIN_DOCS = 5000, 800
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 
@@ -144,28 +144,22 @@ class Model:
         return [(x.start(), x.end(), float(v)) for x, v in zip(found, p, strict=True) if v >= least]
 
 
-def cue_words(tokens: list[list[str]], toxic: np.ndarray) -> list[str]:
-    """Words that toxic documents hold significantly more often than clean ones."""
-    counts: dict[str, list[int]] = {}
+def cue_words(tokens: list[np.ndarray], toxic: np.ndarray, n_words: int) -> np.ndarray:
+    """Ids of words that toxic documents hold significantly more often than clean ones."""
+    counts = np.zeros((2, n_words))
     for found, y in zip(tokens, toxic, strict=True):
-        for w in set(found):
-            counts.setdefault(w, [0, 0])[y] += 1
-    n = np.array([max(1, (toxic == 0).sum()), max(1, (toxic == 1).sum())], float)
-    out = []
-    for w, (c, t) in counts.items():
-        if t >= 4:
-            pc, pt, pool = c / n[0], t / n[1], (c + t) / n.sum()
-            z = (pt - pc) / np.sqrt(pool * (1 - pool) * (1 / n).sum() + 1e-12)
-            if z > 5 and (t + 0.5) / (n[1] + 1) > 4 * (c + 0.5) / (n[0] + 1):
-                out.append(w)
-    return sorted(out)
-
-
-def one_of_each(tokens: list[list[str]]) -> list[int]:
+        counts[y, np.unique(found)] += 1
+    n = np.maximum(1, np.array([(toxic == 0).sum(), (toxic == 1).sum()], float))
+    (pc, pt), pool = counts / n[:, None], counts.sum(0) / n.sum()
+    z = (pt - pc) / np.sqrt(pool * (1 - pool) * (1 / n).sum() + 1e-12)
+    return np.flatnonzero((counts[1] >= 4) & (z > 5) & ((counts[1] + 0.5) / (n[1] + 1) > 4 * (counts[0] + 0.5) / (n[0] + 1)))
+
+
+def one_of_each(tokens: list[np.ndarray], marks: np.ndarray) -> list[int]:
     """Indices of the texts with one of each group of copies, near ones included: words of copied texts are no cues."""
     seen: dict[tuple, int] = {}
     for i, found in enumerate(tokens):
-        seen.setdefault(tuple(sorted({zlib.crc32(w.encode()) for w in found})[:4]), i)
+        seen.setdefault(tuple(np.sort(marks[np.unique(found)])[:4].tolist()), i)
     return sorted(seen.values())
 
 
@@ -173,17 +167,21 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     """The chain and the logistic layer above it, from whole labelled texts."""
     if len(set(toxic.tolist())) < 2:
         return Model(constant=float(toxic.mean()) if len(toxic) else 0.0)
-    tokens = [words(t) for t in texts]
-    kept = one_of_each(tokens)
+    known: dict[str, int] = {}
+    tokens = [np.fromiter((known.setdefault(w, len(known)) for w in words(t)), np.int32) for t in texts]
+    kept = one_of_each(tokens, np.fromiter((zlib.crc32(w.encode()) for w in known), np.int64, len(known)))
     texts, tokens, toxic = [texts[i] for i in kept], [tokens[i] for i in kept], toxic[kept]
-    cues = cue_words(tokens, toxic)
-    if not cues:
+    found = cue_words(tokens, toxic, len(known))
+    if not len(found) or len(set(toxic.tolist())) < 2:
         return Model(constant=float(toxic.mean()))
+    names = list(known)
+    cues = [names[i] for i in found]
+    place = np.zeros(len(known), np.int32)
+    place[found] = np.arange(1, len(cues) + 1)
     model = Model({w: i + 1 for i, w in enumerate(cues)}, np.zeros(len(cues) + 1), constant=None)
     half = MAX_CHAIN_DOCS // 2
-    chosen = [i for y in (0, 1) for i in np.flatnonzero(toxic == y)[:half]]
-    chosen = [i for i in chosen if tokens[i]]
-    ids = np.concatenate([np.asarray([model.vocabulary.get(w, 0) for w in tokens[i]], np.int32) for i in chosen])
+    chosen = [i for y in (0, 1) for i in np.flatnonzero(toxic == y)[:half] if len(tokens[i])]
+    ids = place[np.concatenate([tokens[i] for i in chosen])]
     first = np.concatenate([np.arange(len(tokens[i])) == 0 for i in chosen])
     tag = (ids > 0) & np.concatenate([np.full(len(tokens[i]), toxic[i] == 1) for i in chosen])
     observed = np.bincount(ids, tag, minlength=len(cues) + 1)
@@ -199,7 +197,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         model.transition -= model.transition[0, 0]
         start = p[first]
         model.start += np.array([0, np.clip((begin[1] - start.sum()) / (start.sum() + 1), -1, 1)])
-    x, w = model.features(texts), np.zeros(4)
+    x, w = np.concatenate([model.features(texts[k : k + 200]) for k in range(0, len(texts), 200)]), np.zeros(4)
     for _ in range(25):  # Newton steps with a small ridge
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(4)
@@ -216,8 +214,8 @@ def fitted(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Mode
     marks = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()).where(~held_out())
     picked = marks.where("doc_id is not null").where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # a sample by hash
-    sample = rows.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_docs).toPandas()
-    return train(sample["text"].tolist(), sample["toxic"].to_numpy(int))
+    sample = rows.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_docs).select("text", "toxic").collect()
+    return train([r[0] for r in sample], np.array([r[1] for r in sample], int))
 
 
 def score_column(model: Model, name: str = "text"):
