@@ -63,6 +63,17 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers stay for later stages, and their pools would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def gathered(batches, limit_bytes: int = 1 << 20, limit_rows: int = 20_000):
     """Join small Arrow batches up to the given size: fewer, larger steps of vector work in bounded memory."""
     held, rows, size = [], 0, 0
@@ -77,6 +88,8 @@ def gathered(batches, limit_bytes: int = 1 << 20, limit_rows: int = 20_000):
                 held, rows, size = [], 0, 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = batch = part = None
+    release_memory()
 
 
 def sliced(batches, rows: int = 200):
@@ -84,6 +97,8 @@ def sliced(batches, rows: int = 200):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    b = None
+    release_memory()
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -170,21 +185,29 @@ def _constants(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PrefixHash:
-    """Polynomial hashes modulo 2**64 of any substrings of a buffer, from prefix sums; each byte counts by a random word."""
+    """Polynomial hashes modulo 2**64 of any substrings of a buffer, from prefix sums; each byte counts by a random word.
+
+    Seeds differ in the words of the bytes; the powers of the base are shared.
+    """
 
-    _made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    BASE = 0x9E3779B97F4A7C15 | 5
+    _powers: tuple[np.ndarray, np.ndarray] | None = None
+    _words: dict[int, np.ndarray] = {}
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         n = len(data) + 1
-        have = self._made.get(seed)
-        if have is None or len(have[1]) < n:
-            rng = np.random.default_rng(seed)
-            base = int(rng.integers(1 << 62, dtype=np.uint64)) * 8 + 5
-            words = rng.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            have = self._made[seed] = (words, *_constants(max(n, 1 << 16) * 5 // 4, base & (1 << 64) - 1))
-        words, powers, self.inverses = have
+        powers = PrefixHash._powers
+        if powers is None or len(powers[0]) < n:
+            powers = _constants(max(n, 1 << 20) * 5 // 4, self.BASE)
+            if n <= 4 << 20:
+                PrefixHash._powers = powers
+        if seed not in self._words:
+            self._words[seed] = np.random.default_rng(seed).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.inverses = powers[1]
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(words[data] * powers[: n - 1], out=self.sums[1:])
+        counted = self._words[seed][data]
+        counted *= powers[0][: n - 1]
+        np.cumsum(counted, out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.sums[ends] - self.sums[starts]) * self.inverses[starts]
