@@ -277,9 +277,10 @@ def crossing(members: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("piece", "i", "j", "block", "id", "root")
     if not few:
         rows = rows.join(drawn, "id")
-    rows = rows.repartition("piece", "i", "j").sortWithinPartitions("piece", "i", "j", "id")
+    rows = rows.repartition("piece", "i", "j")
     if few:
         rows = rows.join(F.broadcast(drawn), "id")
+    rows = rows.sortWithinPartitions("piece", "i", "j", "id")  # last: a sort below a join may be optimised away
     schema = arrow_schema("a long, b long, more boolean")
 
     def compare(t: pa.Table) -> pa.RecordBatch:
@@ -293,6 +294,8 @@ def crossing(members: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
                 continue
             i, j = keys[1, lo], keys[2, lo]
             left, right = lo + np.flatnonzero(block[lo:hi] == i), lo + np.flatnonzero(block[lo:hi] == j)
+            if not len(left) or not len(right):
+                continue
             for at in range(0, len(left), 256):
                 u = left[at : at + 256]
                 ok = np.concatenate([passing(s[u][:, None], size[u][:, None], s[right[k : k + 2048]][None], size[right[k : k + 2048]][None]) for k in range(0, len(right), 2048)], axis=1)
@@ -315,9 +318,9 @@ def crossing(members: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
             t = t.select(["piece", "i", "j", "block", "id", "root", "size", "sketch"])
             held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
             last = tuple(held.column(c)[-1].as_py() for c in ("piece", "i", "j"))
-            whole = held.num_rows
             piece, i, j = (np.asarray(held.column(c)) for c in ("piece", "i", "j"))
-            whole = int(np.flatnonzero((piece != last[0]) | (i != last[1]) | (j != last[2]))[-1:].sum() + 1) if (piece != last[0]).any() or (i != last[1]).any() or (j != last[2]).any() else 0
+            done = np.flatnonzero((piece != last[0]) | (i != last[1]) | (j != last[2]))
+            whole = int(done[-1]) + 1 if len(done) else 0  # the last group may go on
             if whole:
                 yield compare(held.slice(0, whole).combine_chunks())
                 held = held.slice(whole).combine_chunks()
