@@ -26,6 +26,8 @@ from revgraph.llm.common import arrow_schema, cut, gathered
 
 RUN = 8
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s>/]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s>/]*+)([^>]*+)>", re.S)
+#: A tag that the end of the page cuts through.
+_CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"[\s\xa0]+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -76,7 +78,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
     while at < end:
         found = _TAG.search(html, at)
         if not found:
-            part.append(html[at:])
+            part.append(_CUT_TAG.sub("", html[at:]))
             break
         if found.start() > at:
             part.append(html[at : found.start()])
