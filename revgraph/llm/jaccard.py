@@ -268,8 +268,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def crossing(members: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
     """(a, b, more): pairs of a piece across components that their sketches allow, partners turn * ROUND onward.
 
-    members: piece, id, n (of the piece), root. A document's partners are counted over all that its sketch allows, so
-    turns never overlap; more tells that a later turn has pairs.
+    members: piece, id, n (of the piece), root, the same in every turn, so turns never overlap; more tells that a later
+    turn has pairs.
     """
     few = sketches.count() <= BROADCAST_SKETCHES
     drawn = sketches.withColumnRenamed("n", "size")
@@ -301,8 +301,8 @@ def crossing(members: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
                 ok = np.concatenate([passing(s[u][:, None], size[u][:, None], s[right[k : k + 2048]][None], size[right[k : k + 2048]][None]) for k in range(0, len(right), 2048)], axis=1)
                 if i == j:
                     ok &= ids[u][:, None] < ids[right][None]
-                place = np.cumsum(ok, axis=1)
                 ok &= roots[u][:, None] != roots[right][None]
+                place = np.cumsum(ok, axis=1)
                 more |= bool((ok & (place > (turn + 1) * ROUND)).any())
                 r, c = np.nonzero(ok & (place > turn * ROUND) & (place <= (turn + 1) * ROUND))
                 out_a.append(ids[u][r])
@@ -341,8 +341,10 @@ def linked_ids(texts: DataFrame) -> DataFrame:
     members = members.where("id > low").select("piece", "id", "n")  # the smallest ids' pairs are settled
     turn, more = 0, True
     roots = components(links)
+    rooted = members.join(roots, "id", "left").select("piece", "id", "n", F.coalesce("root", "id").alias("root"))
+    open_pieces = cut(rooted.groupBy("piece").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("piece"))
+    rooted = cut(rooted.join(_few(open_pieces), "piece", "left_semi"))
     while more:
-        rooted = members.join(roots, "id", "left").select("piece", "id", "n", F.coalesce("root", "id").alias("root"))
         found = cut(crossing(rooted, sketches, turn).groupBy("a", "b").agg(F.max("more").alias("more")))
         more = bool(found.where("more").head(1))
         new = cut(verified(found.where("not more").select("a", "b"), sets))
