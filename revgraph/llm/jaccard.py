@@ -121,13 +121,31 @@ def shared_pieces(texts: DataFrame) -> DataFrame:
     """(piece, id, band, need) of the sketch pieces that two or more documents have; need: how many each must share.
 
     Tasks route packed arrays of piece values to buckets by value, in which equal values meet; only shared pieces
-    leave the buckets. Values travel as the bucket and 48 bits: chance matches cost a verification, no result.
+    leave the buckets. What a batch already knows to be shared goes past the buckets, in bundles of that batch, and only
+    a mark tells the bucket of it: a piece that a third of all documents have costs its bucket one mark for each batch.
+    Values travel as the bucket and 48 bits: chance matches cost a verification, no result.
     """
     bits = max(2, (partitions(texts.sparkSession) * 2 // 3).bit_length())
     entry = np.dtype([("id", "<i8"), ("need", "<i4"), ("n", "<i4"), ("band", "i1")])
-    out = arrow_schema("bucket int, entries binary, pieces binary")
+    mark = np.iinfo(np.int32).min  # in the place of need
+    low48 = np.uint64((1 << 48) - 1)
+    routed_ddl, ddl = "bucket long, entries binary, pieces binary", "piece long, id long, band int, need long"
+    out, made = arrow_schema(routed_ddl), arrow_schema(ddl)
+
+    def packed(bucket: int, meta: np.ndarray, at: np.ndarray, pieces: np.ndarray, marks: int = 0) -> pa.RecordBatch:
+        """One row; at: the sorted owners of the pieces that no mark stands for, which come last."""
+        who, n = np.unique(at, return_counts=True)
+        entries = meta[who]
+        entries["n"] = n
+        if marks:
+            entries = np.append(entries, np.array([(0, mark, marks, 0)], entry))
+        columns = b"".join(entries[c].tobytes() for c in entry.names)
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([columns], pa.binary()), pa.array([pieces.tobytes()], pa.binary())], schema=out)
 
     def route(batches):
+        from pyspark import TaskContext
+
+        bundle = -1 - (TaskContext.get().partitionId() << 32)  # below 0 and of its own for each batch
         for t in gathered(batches, 1 << 20, 20_000):
             values, offsets = shingle_sets(t.column("text"))
             ids = np.asarray(t.column("doc_id"))
@@ -135,55 +153,70 @@ def shared_pieces(texts: DataFrame) -> DataFrame:
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 if b > a:
                     for band, pieces, d in bands(b - a):
-                        made = sketch(values[a:b], band, pieces)
-                        keys.append(made)
-                        owner.append((ids[i], len(made) - d, len(made), band))
+                        piece = sketch(values[a:b], band, pieces)
+                        keys.append(piece)
+                        owner.append((ids[i], len(piece) - d, len(piece), band))
             if not keys:
                 continue
             meta = np.array(owner, entry)
-            key, at = np.concatenate(keys), np.repeat(np.arange(len(owner)), meta["n"])
+            key, at = np.concatenate(keys), np.repeat(np.arange(len(owner), dtype=np.int32), meta["n"])
+            order = np.argsort(key)
+            key, at = key[order], at[order]
+            first = np.ones(len(key) + 1, bool)
+            first[1:-1] = key[1:] != key[:-1]
+            twice = ~(first[:-1] & first[1:])
             bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+            if twice.any():
+                order = np.flatnonzero(twice)[np.argsort(at[twice], kind="stable")]
+                yield packed(bundle, meta, at[order], (key[order] & low48).view(np.int64) | bucket[order] << 48)
+                bundle -= 1
+            marked = twice & first[:-1]
+            keep = np.flatnonzero(~twice | marked)
+            key, at, bucket = key[keep], np.where(marked[keep], len(owner), at[keep]), bucket[keep]
             order = np.lexsort((at, bucket))
             key, at, bucket = key[order], at[order], bucket[order]
-            edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            for b in range(1 << bits):
-                lo, hi = edges[b], edges[b + 1]
+            edges = np.searchsorted(bucket, np.arange((1 << bits) + 1)).tolist()
+            narrow = key.view(np.uint8).reshape(-1, 8)[:, :6]
+            for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if hi > lo:
-                    who, n = np.unique(at[lo:hi], return_counts=True)
-                    entries = meta[who]
-                    entries["n"] = n
-                    columns = b"".join(entries[c].tobytes() for c in entry.names)
-                    packed = key[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([columns], pa.binary()), pa.array([packed], pa.binary())], schema=out)
+                    real = int(np.searchsorted(at[lo:hi], len(owner)))
+                    yield packed(b, meta, at[lo : lo + real], narrow[lo:hi], hi - lo - real)
 
-    made = arrow_schema("piece long, id long, band int, need long")
+    def unpacked(columns) -> np.ndarray:
+        raw = columns.as_py()
+        part, at = np.empty(len(raw) // entry.itemsize, entry), 0
+        for c in entry.names:
+            part[c] = np.frombuffer(raw, entry[c], len(part), at)
+            at += len(part) * entry[c].itemsize
+        return part
 
     def meet(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
-        parts, key = [], []
-        for columns, packed in zip(t.column("entries"), t.column("pieces"), strict=True):
-            raw = columns.as_py()
-            part, at = np.empty(len(raw) // entry.itemsize, entry), 0
-            for c in entry.names:
-                part[c] = np.frombuffer(raw, entry[c], len(part), at)
-                at += len(part) * entry[c].itemsize
-            parts.append(part)
-            narrow = np.frombuffer(packed.as_py(), np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(narrow), 8), np.uint8)
-            wide[:, :6] = narrow
-            key.append(wide.view(np.uint64)[:, 0])
-        parts, key = np.concatenate(parts), np.concatenate(key)
+        parts = np.concatenate([unpacked(x) for x in t.column("entries")])
         at = np.repeat(np.arange(len(parts), dtype=np.int32), parts["n"])
-        order = np.argsort(key, kind="stable")
-        key, at = key[order], at[order]
-        same = np.zeros(len(key), bool)
-        same[1:] = key[1:] == key[:-1]
-        same[:-1] |= same[1:]
-        found = parts[at[same]]
-        return pa.table([key[same].view(np.int64) | bucket << 48, found["id"], found["band"].astype(np.int32), found["need"].astype(np.int64)], schema=made)
-
-    routed = texts.select("doc_id", "text").mapInArrow(route, "bucket int, entries binary, pieces binary")
-    return routed.groupBy("bucket").applyInArrow(meet, "piece long, id long, band int, need long")
+        if bucket < 0:
+            piece = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("pieces")])
+        else:
+            key = []
+            for x in t.column("pieces"):
+                narrow = np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6)
+                wide = np.zeros((len(narrow), 8), np.uint8)
+                wide[:, :6] = narrow
+                key.append(wide.view(np.uint64)[:, 0])
+            key = np.concatenate(key)
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+            # shared: of two entries, or of one and another batch's mark
+            same = np.zeros(len(key), bool)
+            same[1:] = key[1:] == key[:-1]
+            same[:-1] |= same[1:]
+            same &= parts["need"][at] != mark
+            piece, at = key[same].view(np.int64) | bucket << 48, at[same]
+        found = parts[at]
+        return pa.table([piece, found["id"], found["band"].astype(np.int32), found["need"].astype(np.int64)], schema=made)
+
+    routed = texts.select("doc_id", "text").mapInArrow(route, routed_ddl)
+    return routed.groupBy("bucket").applyInArrow(meet, ddl)
 
 
 def _few(ids: DataFrame):

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +236,29 @@ def test_jaccard(docs, nothing, rows, monkeypatch, turn):
     assert jaccard.near_duplicates(nothing).count() == 0
 
 
+def test_jaccard_shared_pieces(spark):
+    """Pieces met within a batch, across batches, or both, against counting them all in one place."""
+    common = "one line that a great many of the documents share word for word"
+    texts = [(i, f"{common} {i} {i % 7} {i % 5} tail of some words {i % 3}" if i % 4 else f"alone {i} x{i} y{i} z{i} w{i}") for i in range(300)]
+    texts += [(1000 + i, " ".join(f"w{(i % 4) * 1000 + k}" for k in range(150))) for i in range(9)]
+    held: dict = {}
+    for doc_id, text in texts:
+        values = jaccard.shingle_sets(pa.array([text]))[0]
+        for band, pieces, d in jaccard.bands(len(values)):
+            made = jaccard.sketch(values, band, pieces)
+            for p in made.tolist():
+                held.setdefault(p, []).append((doc_id, band, len(made) - d))
+    want = sorted(row for rows in held.values() if len(rows) > 1 for row in rows)
+    for parts in (1, 5):
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)
+        got = jaccard.shared_pieces(docs).collect()
+        assert sorted((r["id"], r["band"], r["need"]) for r in got) == want
+        by_piece: dict = {}
+        for r in got:
+            by_piece.setdefault(r["piece"], []).append((r["id"], r["band"], r["need"]))
+        assert sorted(map(sorted, by_piece.values())) == sorted(sorted(rows) for rows in held.values() if len(rows) > 1)
+
+
 def test_jaccard_keeps_one(docs, rows):
     _, root = brute_components(rows)
     left = jaccard.keep_one(docs)
