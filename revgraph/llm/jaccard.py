@@ -10,9 +10,11 @@ whose shared pieces are fewer than that bound has no partner and leaves.
 What stays is linked through verified pairs only: pairs whose fixed-size parity sketches (SKETCH bits) differ in D bits
 at most are compared on their whole sets. First every piece's smallest id is paired with its other documents, and
 connected components follow. A piece whose documents then lie in one component is done. In the others the sketches of
-all documents are compared in blocks inside a task, and pairs across components that pass go on to verification, at most
-ROUND partners of a document at a time, until no such pair is left. So rows stay linear in the pieces, hot pieces are
-cut into block pairs, no pair of different texts is lost and nothing is dropped.
+all documents are compared in blocks inside a task, and pairs across components that pass go on to verification: the
+first ROUND partners of a document, and as long as such pairs are left, GROW times as many more. Components are
+found anew after every turn, so documents that a turn has linked cost no further pairs; turns go by the places of
+partners among all that passed at first, so no pair is lost or comes twice. Hot pieces are cut into block pairs, and
+nothing is dropped.
 
 Bands double in size. The smaller set of a pair is of its own band; the larger one of that band or the next, so sets
 near a band's lower end are sketched in the band below too. Below SINGLE shingles every shingle is a piece of its own,
@@ -35,7 +37,7 @@ from revgraph.llm.common import PrefixHash, arrow_schema, components, cut, gathe
 
 WORDS = 5
 SINGLE, DENSE = 64, 512
-ROUND, BLOCK, SKETCH = 32, 4096, 1024
+ROUND, GROW, BLOCK, SKETCH = 4, 8, 4096, 1024
 #: Ids up to which a list of documents is broadcast (8 bytes each), and rows up to which their sketches are
 #: (some 150 bytes each); beyond, they join by a shuffle.
 BROADCAST_IDS, BROADCAST_SKETCHES = 1_000_000, 100_000
@@ -298,16 +300,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(check, ddl)
 
 
-def crossing(members: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
-    """(a, b, more): pairs of a piece across components that their sketches allow, partners turn * ROUND onward.
+def crossing(members: DataFrame, sketches: DataFrame, low: int, high: int) -> DataFrame:
+    """(a, b, more): pairs of a piece across components that their sketches allow, a document's partners low to high.
 
-    members: piece, id, n (of the piece), root, the same in every turn, so turns never overlap; more tells that a later
-    turn has pairs.
+    members: piece, id, n (of the piece), first_root, root. Partners are numbered across the first components, the same
+    in every turn, so turns never overlap; pairs that root has since joined are left out. more tells that a later turn
+    has pairs.
     """
     few = sketches.count() <= BROADCAST_SKETCHES
     drawn = sketches.withColumnRenamed("n", "size")
     rows = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("piece", "i", "j", "block", "id", "root")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("piece", "i", "j", "block", "id", "first_root", "root")
     if not few:
         rows = rows.join(drawn, "id")
     rows = rows.repartition("piece", "i", "j")
@@ -317,7 +320,7 @@ def crossing(members: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
     schema = arrow_schema("a long, b long, more boolean")
 
     def compare(t: pa.Table) -> pa.RecordBatch:
-        ids, roots, size, block = (np.asarray(t.column(c)) for c in ("id", "root", "size", "block"))
+        ids, firsts, roots, size, block = (np.asarray(t.column(c)) for c in ("id", "first_root", "root", "size", "block"))
         s = sketch_matrix(t.column("sketch"))
         keys = np.stack([np.asarray(t.column(c), np.int64) for c in ("piece", "i", "j")])
         edge = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0), [True]]))
@@ -334,10 +337,11 @@ def crossing(members: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
                 ok = np.concatenate([passing(s[u][:, None], size[u][:, None], s[right[k : k + 2048]][None], size[right[k : k + 2048]][None]) for k in range(0, len(right), 2048)], axis=1)
                 if i == j:
                     ok &= ids[u][:, None] < ids[right][None]
-                ok &= roots[u][:, None] != roots[right][None]
+                ok &= firsts[u][:, None] != firsts[right][None]
                 place = np.cumsum(ok, axis=1)
-                more |= bool((ok & (place > (turn + 1) * ROUND)).any())
-                r, c = np.nonzero(ok & (place > turn * ROUND) & (place <= (turn + 1) * ROUND))
+                ok &= (roots[u][:, None] != roots[right][None]) & (place > low)
+                more |= bool((ok & (place > high)).any())
+                r, c = np.nonzero(ok & (place <= high))
                 out_a.append(ids[u][r])
                 out_b.append(ids[right][c])
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (out_a, out_b))
@@ -348,7 +352,7 @@ def crossing(members: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
     def run(batches):
         held = None
         for t in gathered(batches, 2 << 20, 1 << 30):
-            t = t.select(["piece", "i", "j", "block", "id", "root", "size", "sketch"])
+            t = t.select(["piece", "i", "j", "block", "id", "first_root", "root", "size", "sketch"])
             held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
             last = tuple(held.column(c)[-1].as_py() for c in ("piece", "i", "j"))
             piece, i, j = (np.asarray(held.column(c)) for c in ("piece", "i", "j"))
@@ -372,22 +376,29 @@ def linked_ids(texts: DataFrame) -> DataFrame:
     pairs = plausible(members.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), sketches)
     links = cut(verified(pairs, sets))
     members = members.where("id > low").select("piece", "id", "n")  # the smallest ids' pairs are settled
-    turn, more = 0, True
     roots = components(links)
-    rooted = members.join(roots, "id", "left").select("piece", "id", "n", F.coalesce("root", "id").alias("root"))
-    open_pieces = cut(rooted.groupBy("piece").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("piece"))
-    rooted = cut(rooted.join(_few(open_pieces), "piece", "left_semi"))
+    rooted = members.join(roots, "id", "left").select("piece", "id", "n", F.coalesce("root", "id").alias("first_root")).withColumn("root", F.col("first_root"))
+    rooted = _open(rooted)
+    low, high, more = 0, ROUND, True
     while more:
-        found = cut(crossing(rooted, sketches, turn).groupBy("a", "b").agg(F.max("more").alias("more")))
+        found = cut(crossing(rooted, sketches, low, high).groupBy("a", "b").agg(F.max("more").alias("more")))
         more = bool(found.where("more").head(1))
         new = cut(verified(found.where("not more").select("a", "b"), sets))
         if new.head(1):
             links = cut(links.unionByName(new))
             roots = components(links)
-        turn += 1
+            if more:
+                rooted = _open(rooted.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+        low, high = high, high * GROW
     return roots
 
 
+def _open(rooted: DataFrame) -> DataFrame:
+    """The members of pieces whose documents do not yet lie in one component."""
+    left = cut(rooted.groupBy("piece").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("piece"))
+    return cut(rooted.join(_few(left), "piece", "left_semi"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column())
