@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgraph.llm.common import PrefixHash, arrow_schema, components, cut, gathered, lowered, map_tables, mixed, partitions, stored, text_buffer, text_column
+from revgraph.llm.common import PrefixHash, arrow_schema, components, cut, gathered, lowered, map_tables, mixed, partitions, sliced, stored, text_buffer, text_column
 
 WORDS = 5
 SINGLE, DENSE = 64, 512
@@ -266,7 +266,7 @@ def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) that their sketches allow."""
 
     def check(batches):
-        for b in batches:
+        for b in sliced(batches, 2000):
             ok = passing(sketch_matrix(b.column(2)), np.asarray(b.column(3)), sketch_matrix(b.column(4)), np.asarray(b.column(5)))
             mask = pa.array(ok)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
@@ -281,7 +281,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def check(batches):
-        for batch in batches:
+        for batch in sliced(batches, 500):
             keep = []
             last, one = None, None
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -371,7 +371,7 @@ def linked_ids(texts: DataFrame) -> DataFrame:
     """(id, root) of every document that is linked with another; texts: doc_id, text, one row for each class."""
     members = cut(shared_groups(texts))
     ids = cut(members.select("id").distinct())
-    sets = stored(map_tables(texts.join(_few(ids), texts["doc_id"] == ids["id"], "left_semi"), _packed_sets, "id long, n long, sketch binary, shingles binary"), "sets")
+    sets = stored(map_tables(texts.join(_few(ids), texts["doc_id"] == ids["id"], "left_semi"), _packed_sets, "id long, n long, sketch binary, shingles binary", 1 << 20, 1000), "sets")
     sketches = sets.select("id", "n", "sketch")
     pairs = plausible(members.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), sketches)
     links = cut(verified(pairs, sets))
