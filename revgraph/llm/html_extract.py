@@ -1,15 +1,19 @@
-"""Main text of web pages: markup, a host's repeated token runs, and the unique runs that stay.
+"""Main text of web pages: markup, a host's repeated token runs, and the runs that stay.
 
 A page is read once into blocks of text: script, style, forms, menus, headers, footers, sidebars, notices, adverts and
 comments are recognised by element, role, class or id; the rest is article text where the page marks an article or
-main element, and undecided where it marks none. The undecided and page-frame blocks of a host's pages are
-concatenated into token streams whose suffixes are bucketed by their first RUN tokens: a bucket that holds suffixes of
-two distinct pages is a substring that the host repeats. Undecided blocks that such substrings cover are boilerplate;
-unique runs stay. Inside a marked article nothing is removed for being repeated, since hosts republish articles.
-Buckets are minimum and maximum aggregations per host and run, so a host with a third of all pages stays parallel.
-
-Null html counts as empty and gives an empty text; a null url is a host of its own; repeated rows are judged alike (a
-page counts once however often it is repeated); an empty table gives no rows; extra columns are ignored.
+main element, and undecided where it marks none. The blocks of a host's pages are token streams whose suffixes are
+bucketed by their first RUN tokens; whatever order the suffixes of a bucket have, a token lies in a repeated substring
+of RUN tokens or more exactly when it lies in the RUN tokens of a bucket that several contents share, so buckets are
+not sorted further. Pages of equal blocks are one content.
+
+A content's core is its rarest runs, taken by the number of contents that hold them until they make up CORE of its
+runs. Contents that share a core run are editions of one article and give no evidence against each other. A run is
+boilerplate when contents of several articles hold it: three, or two on hosts of at most three articles. Tokens it
+covers go from undecided blocks; page frame blocks are evidence only. Inside a marked article nothing is removed.
+
+Null html counts as empty and gives an empty text; pages without a host (null or empty url) are compared with none;
+repeated rows are judged alike; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +25,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from revgraph.llm.common import arrow_schema, cut, gathered
+from revgraph.llm.common import arrow_schema, components, cut, gathered
 
 RUN = 8
+#: Least share of a content's runs in its core.
+CORE = 0.2
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s>/]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s>/]*+)([^>]*+)>", re.S)
 #: A tag that the end of the page cuts through.
 _CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
@@ -125,38 +132,84 @@ def host_of(url: str | None) -> str:
     return "" if url is None else re.sub(r"^[a-z][a-z0-9+.-]*://", "", url.lower()).split("/")[0].split("?")[0].split("#")[0]
 
 
-def runs(parts: list[tuple[int, str]]) -> list[tuple[int, int, int]]:
+def judged(parts: list[tuple[int, str]]) -> int:
+    """The zone whose blocks are the page's text: the article's, or undecided ones where there is no article."""
+    return 2 if any(zone == 2 for zone, _ in parts) else 1
+
+
+def runs(parts: list[tuple[int, str]], host: str) -> list[tuple[int, int, int]]:
     """(block, token, hash) of the suffixes of the frame and undecided blocks, cut to RUN tokens; shorter blocks whole."""
     out = []
     for i, (zone, text) in enumerate(parts):
+        tokens = text.split(" ")
         if zone < 2:
-            tokens = text.split(" ")
             for k in range(max(1, len(tokens) - RUN + 1)):
-                out.append((i, k, xxhash.xxh64_intdigest(" ".join(tokens[k : k + RUN])) - (1 << 63)))
+                out.append((i, k, xxhash.xxh64_intdigest(host + " " + " ".join(tokens[k : k + RUN])) - (1 << 63)))
     return out
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row."""
-    read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("page_key", F.xxhash64("page_id", "url", "html"))
-    suffix_ddl = "host string, run long, page_key long, block int, token int, undecided boolean"
-    suffix_schema = arrow_schema(suffix_ddl)
+def boilerplate(read: DataFrame) -> DataFrame:
+    """(page_key, block, token) of the suffixes whose first RUN tokens are a host's boilerplate."""
+    key_ddl, run_ddl = "page_key long, host string, content long, total int", "run long, content long, block int, token int, own boolean"
+    key_schema, run_schema = arrow_schema(key_ddl), arrow_schema(run_ddl)
 
-    def suffixes(batches):
+    def pages(batches):
         for t in gathered(batches, 4 << 20, 2000):
-            rows = []
             for url, html, key in zip(*(t.column(c).to_pylist() for c in ("url", "html", "page_key")), strict=True):
-                parts = blocks(html)
                 host = host_of(url)
-                undecided = not any(zone == 2 for zone, _ in parts)
-                rows += [(host, h, key, i, k, undecided and parts[i][0] == 1) for i, k, h in runs(parts)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), suffix_schema, strict=True)], schema=suffix_schema)
-
-    rows = read.mapInArrow(suffixes, suffix_ddl)
-    # a run is repeated when its bucket holds two pages; only undecided suffixes need to know
-    buckets = rows.groupBy("host", "run").agg(F.min("page_key").alias("low"), F.max("page_key").alias("high"), F.max("undecided").alias("asked")).where("asked and low <> high").select("host", "run")
-    covered = cut(rows.where("undecided").join(buckets, ["host", "run"], "left_semi").groupBy("page_key").agg(F.collect_set(F.struct("block", "token")).alias("covered")))
+                if host:
+                    parts = blocks(html)
+                    content = xxhash.xxh64_intdigest("\n".join([host, *(f"{zone}{text}" for zone, text in parts)])) - (1 << 63)
+                    yield key, host, content, parts
+
+    def batched(rows, schema):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def keys(batches):
+        rows = []
+        for key, host, content, parts in pages(batches):
+            zone = judged(parts)
+            rows.append((key, host, content, sum(parts[i][0] == zone for i, _, _ in runs(parts, host))))
+            if len(rows) >= 8000:
+                yield batched(rows, key_schema)
+                rows = []
+        if rows:
+            yield batched(rows, key_schema)
+
+    def suffixes(batches):
+        rows = []
+        for _, host, content, parts in pages(batches):
+            zone = judged(parts)
+            rows += [(h, content, i, k, parts[i][0] == zone) for i, k, h in runs(parts, host)]
+            if len(rows) >= 50_000:
+                yield batched(rows, run_schema)
+                rows = []
+        if rows:
+            yield batched(rows, run_schema)
+
+    known = cut(read.mapInArrow(keys, key_ddl))
+    contents = known.select("content", "host", "total").distinct()
+    bucket = Window.partitionBy("run")
+    shared = read.mapInArrow(suffixes, run_ddl).withColumn("rank", F.dense_rank().over(bucket.orderBy("content"))).withColumn("held", F.max("rank").over(bucket)).where("held > 1").drop("rank")
+    shared = cut(shared.dropDuplicates(["content", "block", "token"]))
+    levels = shared.where("own").groupBy("content", "held").agg(F.count("*").alias("n")).join(contents, "content")
+    rarer = Window.partitionBy("content").orderBy("held")
+    levels = levels.withColumn("rarer", F.col("total") - F.sum("n").over(Window.partitionBy("content")) + F.sum("n").over(rarer) - F.col("n"))
+    core = cut(shared.where("own").join(levels.where(F.col("rarer") < F.col("total") * CORE).select("content", "held"), ["content", "held"], "left_semi").select("run", "content").distinct())
+    first = core.groupBy("run").agg(F.min("content").alias("b"))
+    groups = components(core.join(first, "run").where("content <> b").select(F.col("content").alias("a"), "b").distinct())
+    articles = cut(contents.join(groups.withColumnRenamed("id", "content"), "content", "left").select("content", "host", F.coalesce("root", "content").alias("article")))
+    need = articles.groupBy("host").agg(F.when(F.count_distinct("article") > 3, 3).otherwise(2).alias("need"))
+    held = shared.select("run", "content").distinct().join(articles.join(need, "host").select("content", "article", "need"), "content")
+    repeated = held.groupBy("run").agg(F.count_distinct("article").alias("articles"), F.max("need").alias("need")).where("articles >= need").select("run")
+    covered = shared.where("own").join(repeated, "run", "left_semi").select("content", "block", "token")
+    return covered.join(known.select("page_key", "content").distinct(), "content").select("page_key", "block", "token")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every row."""
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("page_key", F.xxhash64("page_id", "url", "html"))
+    covered = cut(boilerplate(read).groupBy("page_key").agg(F.collect_set(F.struct("block", "token")).alias("covered")))
     few = covered.count() <= 10_000
     joined = read.join(F.broadcast(covered) if few else covered, "page_key", "left").select("page_id", "url", "html", F.transform("covered", lambda x: x["block"].cast("long") * (1 << 32) + x["token"]).alias("covered"))
     ddl = "page_id long, url string, text string, n_chars long"
@@ -171,15 +224,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def main_text(parts: list[tuple[int, str]], covered: set[tuple[int, int]]) -> str:
-    """The article's blocks, or without an article the undecided blocks less the tokens that repeated runs cover."""
-    if any(zone == 2 for zone, _ in parts):
-        return "\n".join(text for zone, text in parts if zone == 2)
-    out = []
+    """The article's blocks, or without an article the undecided ones, less the tokens that boilerplate covers."""
+    kept, out = judged(parts), []
+    gone: dict[int, set[int]] = {}
+    for b, k in covered:
+        gone.setdefault(b, set()).update(range(k, k + RUN))
     for i, (zone, text) in enumerate(parts):
-        if zone == 1:
-            tokens = text.split(" ")
-            gone = {k + j for b, k in covered if b == i for j in range(RUN)} if covered else ()
-            left = [w for k, w in enumerate(tokens) if k not in gone]
+        if zone == kept:
+            left = [w for k, w in enumerate(text.split(" ")) if k not in gone[i]] if i in gone else [text]
             if left:
                 out.append(" ".join(left))
     return "\n".join(out)

@@ -451,3 +451,28 @@ def test_html(spark):
     assert [got[10 + i].text for i in range(3)] == [f"Unique words of page number {i} are here and nowhere else" for i in ("one", "two", "three")]
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert html_extract.extract(d.limit(0)).count() == 0
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def html_texts(spark, pages):
+    d = spark.createDataFrame([(i, u, p) for i, (u, p) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.extract(d).orderBy("page_id").collect()]
+
+
+def test_html_editions_of_an_article_stay(spark):
+    rng = random.Random(8)
+    outer, quote = sentence(rng, 14), sentence(rng, 8)
+    article = sentence(rng, 60)
+    teasers = [sentence(rng, 9) for _ in range(2)]
+    exact = [("http://a/1", f"<p>{article}</p>"), ("http://a/2", f"<p>{article}</p>")]
+    lone = [(None, f"<p>{article}</p><p>{sentence(rng, 20)}</p>") for _ in range(2)]
+    own = [sentence(rng, 30) for _ in range(4)]
+    mixed = [(f"http://b/{i}", f"<div>{outer}</div><p>{article}</p><p>{t}</p>") for i, t in enumerate(teasers)] + [(f"http://b/x{i}", f"<div>{outer}</div><p>{t}</p>" + (f"<p>{quote}</p>" if i < 2 else "")) for i, t in enumerate(own)]
+    got = html_texts(spark, exact + lone + mixed)
+    assert got[:2] == [article] * 2
+    assert all(g.startswith(article + "\n") and len(g) > len(article) + 20 for g in got[2:4])
+    assert got[4:6] == [f"{article}\n{t}" for t in teasers]
+    assert got[6:] == [t + (f"\n{quote}" if i < 2 else "") for i, t in enumerate(own)]
