@@ -10,7 +10,8 @@ not sorted further. Pages of equal blocks are one content.
 A content's core is its rarest runs, taken by the number of contents that hold them until they make up CORE of its
 runs. Contents that share a core run are editions of one article and give no evidence against each other. A run is
 boilerplate when contents of several articles hold it: three, or two on hosts of at most three articles. Tokens it
-covers go from undecided blocks; page frame blocks are evidence only. Inside a marked article nothing is removed.
+covers go, from undecided blocks and from marked articles alike; page frame blocks are evidence only. In a marked
+article blocks shorter than RUN tokens are not judged, as they are headings more often than notices.
 
 Null html counts as empty and gives an empty text; pages without a host (null or empty url) are compared with none;
 repeated rows are judged alike; an empty table gives no rows; extra columns are ignored.
@@ -138,11 +139,11 @@ def judged(parts: list[tuple[int, str]]) -> int:
 
 
 def runs(parts: list[tuple[int, str]], host: str) -> list[tuple[int, int, int]]:
-    """(block, token, hash) of the suffixes of the frame and undecided blocks, cut to RUN tokens; shorter blocks whole."""
+    """(block, token, hash) of the suffixes of the blocks, cut to RUN tokens; shorter blocks outside an article whole."""
     out = []
     for i, (zone, text) in enumerate(parts):
         tokens = text.split(" ")
-        if zone < 2:
+        if zone < 2 or len(tokens) >= RUN:
             for k in range(max(1, len(tokens) - RUN + 1)):
                 out.append((i, k, xxhash.xxh64_intdigest(host + " " + " ".join(tokens[k : k + RUN])) - (1 << 63)))
     return out
@@ -169,7 +170,8 @@ def boilerplate(read: DataFrame) -> DataFrame:
         rows = []
         for key, host, content, parts in pages(batches):
             zone = judged(parts)
-            rows.append((key, host, content, sum(parts[i][0] == zone for i, _, _ in runs(parts, host))))
+            sizes = [text.count(" ") + 1 for z, text in parts if z == zone]
+            rows.append((key, host, content, sum(max(1, n - RUN + 1) for n in sizes if zone < 2 or n >= RUN)))
             if len(rows) >= 8000:
                 yield batched(rows, key_schema)
                 rows = []

@@ -476,3 +476,14 @@ def test_html_editions_of_an_article_stay(spark):
     assert all(g.startswith(article + "\n") and len(g) > len(article) + 20 for g in got[2:4])
     assert got[4:6] == [f"{article}\n{t}" for t in teasers]
     assert got[6:] == [t + (f"\n{quote}" if i < 2 else "") for i, t in enumerate(own)]
+
+
+def test_html_judges_marked_articles(spark):
+    rng = random.Random(9)
+    notice, story = sentence(rng, 12), sentence(rng, 50)
+    own = [sentence(rng, 30) for _ in range(4)]
+    pages = [(f"http://c/{i}", f"<article><h1>Same head</h1><p>{t}</p><p>{notice}</p></article>") for i, t in enumerate(own)]
+    pages += [(f"http://c/s{i}", f"<main><p>{story}</p><p>{notice}</p><p>Seen {i}</p></main>") for i in range(3)]
+    got = html_texts(spark, pages)
+    assert got[:4] == [f"Same head\n{t}" for t in own]
+    assert got[4:] == [f"{story}\nSeen {i}" for i in range(3)]
