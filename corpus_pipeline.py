@@ -12,6 +12,10 @@ from revgraph.llm import exact_dedup, jaccard, packing, suffix_dedup, toxicity
 from revgraph.llm.common import fresh_path, table
 
 
+#: Passages of over 50 words that repeat are removed, beside the strings of op2's 400 bytes.
+PASSAGE_WORDS = 51
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
@@ -25,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(docs)
+    return suffix_dedup.without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,10 @@ repeated; those are matched by hash and verified byte by byte.
 Anchors shared by more than HOT different spans do not go to one task: their windows are counted as rows by two 64-bit
 hashes instead. All joins are by key on the engine, whole texts are read, and strings are judged on the input.
 
+`without_repeats` can judge passages by words as well: every word becomes WORD_BYTES letters of its 64-bit hash, and the
+same search runs over these letters with a window of that many words; matches are exact up to equal 48-bit word hashes.
+What either search finds in the input is removed.
+
 Null texts count as empty; texts shorter than the window keep every byte; null doc_ids are judged like others of their
 text; repeated rows are copies of each other; an empty table gives no rows; extra columns are ignored by `removals` and
 returned by `without_repeats`. doc_id is a key: rows that repeat one with another text are not told apart.
@@ -21,11 +25,14 @@ returned by `without_repeats`. doc_id is a key: rows that repeat one with anothe
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +40,8 @@ from revgraph.llm.common import PrefixHash, arrow_schema, cut, gathered, map_tab
 
 WINDOW, GRAM = 400, 64
 HOT = 20_000
+WORD_BYTES = 8
+_WORD = re.compile(r"\S+")
 SEGMENT = 1 << 20
 #: Ids up to which a list of documents is broadcast (8 bytes each); beyond, it joins by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -344,30 +353,76 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def word_letters(text: str) -> str:
+    """WORD_BYTES letters for every word."""
+    return base64.b64encode(b"".join(xxhash.xxh64_digest(w)[:6] for w in _WORD.findall(text))).decode()
+
+
+def _lettered(t: pa.Table):
+    return [t.column("doc_id").combine_chunks(), pa.array((word_letters(x.as_py()) for x in t.column("text")), pa.string())]
+
+
+def word_ranges(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The bytes of the words that spans of letters hold whole."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    out, done, size = [], 0, 0
+    for start, stop in spans:
+        first, last = -(-start // WORD_BYTES), min(stop // WORD_BYTES, len(at)) - 1
+        if first <= last:
+            low, high = at[first][0], at[last][1]
+            size += len(text[done:low].encode())
+            low_byte = size
+            size += len(text[low:high].encode())
+            done = high
+            out.append((low_byte, size))
+    return out
+
+
+def _everything():
+    return F.array(F.struct(F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop")))
+
+
+def _cuts(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
+    """(doc_key, ranges): what is removed from each document; texts that occur twice go whole."""
+    _, slim, copies, ranges = _judged(docs, window, gram, hot)
+    gone = slim.join(copies, "sha").where(F.col("n_bytes") >= window).select("doc_key").distinct().select("doc_key", _everything().alias("ranges"))
+    return ranges.join(gone.select("doc_key"), "doc_key", "left_anti").unionByName(gone)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, words: int | None = None) -> DataFrame:
     """All rows and columns of docs, text (and n_chars, where there is one) less the repeated bytes.
 
+    With `words`, passages of that many words that start at two places are removed too, whatever their bytes.
     Bytes of a character that is cut through go with it. A text that occurs twice and is at least a window long
     becomes empty; its row stays.
     """
-    _, slim, copies, ranges = _judged(docs, window, gram, hot)
-    gone = slim.join(copies, "sha").where(F.col("n_bytes") >= window).select("doc_key").distinct().select("doc_key", F.array(F.struct(F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop"))).alias("ranges"))
-    cuts = cut(ranges.join(gone.select("doc_key"), "doc_key", "left_anti").unionByName(gone))
-
-    def cleaned(texts, found):
-        return [t if r is None or t is None else without(t.encode(), merged_ranges(np.array([x["start"] for x in r]), np.array([x["stop"] for x in r]))).decode("utf-8", "ignore") for t, r in zip(texts, found, strict=True)]
+    key = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    cuts = _cuts(docs, window, gram, hot).withColumn("word_ranges", F.lit(None).cast("array<struct<start:int,stop:int>>"))
+    if words is not None:
+        lettered = map_tables(docs.select(key.alias("doc_id"), text_column()), _lettered, "doc_id long, text string", 1 << 20)
+        found = _cuts(lettered, words * WORD_BYTES, gram, hot).withColumnRenamed("ranges", "by_word")
+        cuts = cuts.drop("word_ranges").join(found, "doc_key", "full").select("doc_key", "ranges", F.col("by_word").alias("word_ranges"))
+    cuts = cut(cuts)
+
+    def bounds(found) -> list[tuple[int, int]]:
+        return merged_ranges(np.array([x["start"] for x in found]), np.array([x["stop"] for x in found])) if found is not None else []
+
+    def cleaned(text, found, by_word):
+        if text is None:
+            return None
+        spans = bounds(found) + word_ranges(text, bounds(by_word))
+        return without(text.encode(), merged_ranges(*np.array(spans, np.int64).T)).decode("utf-8", "ignore") if spans else text
 
-    def run(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series(cleaned(texts, found), dtype=object)
+    def run(texts: pd.Series, found: pd.Series, by_word: pd.Series) -> pd.Series:
+        return pd.Series([cleaned(*x) for x in zip(texts, found, by_word, strict=True)], dtype=object)
 
     clean = F.pandas_udf(run, "string")
-    key = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
     names = docs.columns
     few = cuts.count() <= BROADCAST_IDS
     marked = docs.withColumn("_cut_key", key)
     ids = cuts.select(F.col("doc_key").alias("_cut_key"))
-    touched = marked.join(F.broadcast(ids) if few else ids, "_cut_key", "left_semi").join(cuts.select(F.col("doc_key").alias("_cut_key"), F.col("ranges").alias("_cut_ranges")), "_cut_key")
-    touched = touched.withColumn("text", clean(F.col("text").cast("string"), F.col("_cut_ranges")))
+    touched = marked.join(F.broadcast(ids) if few else ids, "_cut_key", "left_semi").join(cuts.select(F.col("doc_key").alias("_cut_key"), F.col("ranges").alias("_cut_ranges"), F.col("word_ranges").alias("_cut_words")), "_cut_key")
+    touched = touched.withColumn("text", clean(F.col("text").cast("string"), F.col("_cut_ranges"), F.col("_cut_words")))
     if "n_chars" in names:
         touched = touched.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     rest = marked.join(F.broadcast(ids) if few else ids, "_cut_key", "left_anti")

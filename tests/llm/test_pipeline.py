@@ -1,5 +1,7 @@
 """The pipeline's stages on a small folder, each against its operator."""
 
+import random
+
 import corpus_pipeline
 import __spark_entry__
 from tests.llm.test_operators import toxic_corpus
@@ -29,3 +31,18 @@ def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_pipeline_cuts_passages_of_51_words(spark):
+    rng = random.Random(4)
+    words = lambda n, size=6: " ".join("".join(rng.choice("abcdefghïj") for _ in range(size)) for _ in range(n))
+    passage, short, long = words(51, 4), words(50, 4), words(8, 60)
+    assert len(passage.encode()) < 400 < len(long.encode())
+    own = [words(40) for _ in range(9)]
+    texts = [f"{own[i]} {x}{gap}{own[i + 1]}" for i, x, gap in ((0, passage, " "), (2, passage.replace(" ", "\n"), "\n"), (4, short, " "), (6, short, " "))] + [f"{own[8]} {long} {i}" for i in range(2)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, d, "").collect()}
+    assert got[0].text == f"{own[0]}  {own[1]}" and got[1].text == f"{own[2]} \n{own[3]}"
+    assert [got[i].text for i in (2, 3)] == texts[2:4]
+    assert all(got[i].text.strip() == str(i - 4) for i in (4, 5))
+    assert all(r.n_chars == len(r.text) for r in got.values())
