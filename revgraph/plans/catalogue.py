@@ -352,6 +352,16 @@ def scalars_format(spark, d):
     return o.select("o_orderkey", fn.camel_to_snake(F.lit("custKeyOfOrder")).alias("snake"), fn.si_bytes(k * 37).alias("bytes"), fn.duration(k * 61 * 10**9 + 500 * 10**6).alias("took"), fn.child_name(F.concat(F.lit("Order#"), k.cast("string"))).alias("child"))
 
 
+@query()
+def scalars_format_all(spark, d):
+    """Formats of every order over all branches: bytes up to EB, ties of rounding, minutes to days."""
+    o = view(spark, d, "SELECT o_orderkey FROM {orders}")
+    k = F.col("o_orderkey")
+    sized = F.pow(F.lit(10.0), (k % 7) * 3).cast("long") * (k % 9) + k * 37 + F.when(k % 2 == 0, 0).otherwise(50 - k * 37 % 100)
+    nanos = (k * 61 % (30 * 86400)) * 10**9 + 500 * 10**6
+    return o.select("o_orderkey", fn.camel_to_snake(F.lit("custKeyOfOrder")).alias("snake"), fn.si_bytes(sized).alias("bytes"), fn.duration(nanos).alias("took"), fn.child_name(F.concat(F.lit("Order#"), k.cast("string"))).alias("child"))
+
+
 # --- rows-only queries -----------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 import base64
 import struct
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from revgraph.functions.values import encode_value, parse_list
 from revgraph.model import LAYOUTS
 from revgraph.operators import paths as hierarchy
 from revgraph.operators import subtree
+from revgraph.plans import catalogue as catalogue_queries
 from revgraph.plans import revisions as catalogue
 from revgraph.plans.merge import commit_revision, merge, merge_files, open_revision
 from revgraph.sources.batch import late_sources, read_batch, scan
@@ -195,3 +196,27 @@ def test_stream(spark, tmp_path):
     seen = []
     run(store, str(tmp_path / "in"), str(tmp_path / "cp"), lambda r, _: seen.append(r.first())).awaitTermination()
     assert len(seen) == 1 and len(seen[0].files) == 2 and seen[0].new_objects["resource"] == 1 and seen[0].new_objects["node"] == 1
+
+
+def si_text(n):
+    if n < 1000:
+        return f"{n} B"
+    for i, prefix in enumerate("kMGTPE"):
+        tenths = n // 1000**i / 1000
+        if n // 1000**i < 999_950 or prefix == "E":
+            return f"{Decimal(repr(tenths)).quantize(Decimal('0.1'), ROUND_HALF_UP)} {prefix}B"
+
+
+def test_scalars_format_all_has_every_order_and_branch(spark, tmp_path):
+    keys = [0, 1, 2, 3, 4, 5, 58, 59, 60, 61, 999, 1416, 1417, 42_490, 42_491, 150_000, 27_027_027] + list(range(100, 140))
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    want = set()
+    for k in keys:
+        n = 10 ** (k % 7 * 3) * (k % 9) + k * 37 + (50 - k * 37 % 100 if k % 2 else 0)
+        s = k * 61 % (30 * 86400)
+        day, hour, minute, sec = s // 86400 % 24, s // 3600 % 24, s // 60 % 60, s % 60
+        took = f"{day}d {hour}h {minute}m" if day else f"{hour}h {minute}m {sec}s" if hour else f"{minute}m {sec}s 500.000000ms"
+        want.add((k, "CUST_KEY_OF_ORDER", si_text(n), took, f"Order#{k}"))
+    got = catalogue_queries.QUERIES["scalars_format_all"](spark, str(tmp_path)).collect()
+    assert len(got) == len(keys) and set(map(tuple, got)) == want
+    assert {r.bytes.split(" ")[1] for r in got} >= {"B", "kB", "MB", "GB", "TB", "PB", "EB"} and {r.took[-1] + r.took.split(" ")[0][-1] for r in got} == {"md", "sh", "sm"}
