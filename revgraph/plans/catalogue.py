@@ -309,12 +309,22 @@ def edge_attribute_upsert(spark, d):
     return b.join(s, ["src", "dst"], "left").groupBy(F.when(F.col("old").isNull(), "SET").when(F.col("old") == F.col("value"), "SAME").otherwise("COPY").alias("action")).agg(F.count("*").alias("n"))
 
 
+def _first_perspectives(perspectives: DataFrame) -> DataFrame:
+    rows = perspectives.distinct()
+    first = rows.groupBy("src").agg(F.min(F.struct("line", "dst")).alias("first"))
+    return rows.join(first, "src").select("src", "dst", F.when(F.struct("line", "dst") == F.col("first"), "NEW_OBJECT").otherwise("ERROR").alias("result"))
+
+
 @query("SELECT src, dst, CASE WHEN line = min(line) OVER (PARTITION BY src) AND row_number() OVER (PARTITION BY src, line ORDER BY dst) = 1 THEN 'NEW_OBJECT' ELSE 'ERROR' END AS result FROM (SELECT DISTINCT * FROM {lg_perspective})")
 def perspective_edges(spark, d):
     """The first perspective of a source and layer wins, later ones are errors."""
-    rows = view(spark, d, "lg_perspective").distinct()
-    first = rows.groupBy("src").agg(F.min(F.struct("line", "dst")).alias("first"))
-    return rows.join(first, "src").select("src", "dst", F.when(F.struct("line", "dst") == F.col("first"), "NEW_OBJECT").otherwise("ERROR").alias("result"))
+    return _first_perspectives(view(spark, d, "lg_perspective"))
+
+
+@query("SELECT src, dst, CASE WHEN line = min(line) OVER (PARTITION BY src) AND row_number() OVER (PARTITION BY src, line ORDER BY dst) = 1 THEN 'NEW_OBJECT' ELSE 'ERROR' END AS result FROM (SELECT DISTINCT * FROM {lg_perspective_all})")
+def perspective_edges_all(spark, d):
+    """The same over the whole key range of part."""
+    return _first_perspectives(view(spark, d, "lg_perspective_all"))
 
 
 @query("""WITH r AS (SELECT 'node' AS item_type, result FROM (""" + _upsert_sql("parent", _CUSTOMER_NODES, "s.parent = b.parent AND s.name = b.name") + """) UNION ALL SELECT 'edge', result FROM (""" + _upsert_sql("src", _FLOWS, "s.src = b.src AND s.dst = b.dst AND s.type = b.type") + """))

@@ -35,6 +35,14 @@ VIEWS = {
         UNION ALL SELECT concat('c', CAST(user_id AS STRING)), 'EVENT', event_type FROM {events}""",
     "lg_source": "SELECT CAST(doc_id AS STRING) AS id, lang AS local_name, md5(text) AS hash, lang AS technology, '' AS connection FROM {documents}",
     "lg_perspective": "SELECT concat('c', CAST(c_custkey AS STRING)) AS src, concat('b', p_brand) AS dst, c_custkey * 10 + p_partkey % 7 AS line FROM {customer} JOIN {part} ON p_partkey % 500 = c_custkey % 500 WHERE p_partkey < 1000",
+    # three parts for each customer and a customer for each part, whatever the sizes of the tables
+    "lg_perspective_all": """
+        SELECT concat('c', CAST(c_custkey AS STRING)) AS src, concat('b', p_brand) AS dst, c_custkey * 10 + p_partkey % 7 AS line
+        FROM (SELECT c_custkey, low + (c_custkey * 3 + i) % size AS k FROM {customer} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) x CROSS JOIN (SELECT min(p_partkey) AS low, max(p_partkey) - min(p_partkey) + 1 AS size FROM {part}) y) c
+        JOIN {part} ON p_partkey = k
+        UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), concat('b', p_brand), c_custkey * 10 + p_partkey % 7
+        FROM (SELECT p_partkey, p_brand, low + p_partkey % size AS k FROM {part} CROSS JOIN (SELECT min(c_custkey) AS low, max(c_custkey) - min(c_custkey) + 1 AS size FROM {customer}) y) p
+        JOIN {customer} ON c_custkey = k""",
     "lg_revision": "SELECT DISTINCT year(o_orderdate) - 1994 AS number FROM {orders}",
 }
 

@@ -220,3 +220,14 @@ def test_scalars_format_all_has_every_order_and_branch(spark, tmp_path):
     got = catalogue_queries.QUERIES["scalars_format_all"](spark, str(tmp_path)).collect()
     assert len(got) == len(keys) and set(map(tuple, got)) == want
     assert {r.bytes.split(" ")[1] for r in got} >= {"B", "kB", "MB", "GB", "TB", "PB", "EB"} and {r.took[-1] + r.took.split(" ")[0][-1] for r in got} == {"md", "sh", "sm"}
+
+
+def test_perspectives_reach_every_part(spark, tmp_path):
+    for parts, customers in ((1500, 40), (30, 200)):
+        d = f"{tmp_path}/{parts}"
+        spark.createDataFrame([(i, f"B{i}") for i in range(1, parts + 1)], "p_partkey long, p_brand string").write.parquet(d + "/part.parquet")
+        spark.createDataFrame([(i,) for i in range(1, customers + 1)], "c_custkey long").write.parquet(d + "/customer.parquet")
+        got = catalogue_queries.QUERIES["perspective_edges_all"](spark, d).collect()
+        met, sources = {r.dst for r in got}, {r.src for r in got}
+        assert len(sources) == customers and len(got) <= 3 * customers + parts
+        assert len(met) == parts and sum(r.result == "NEW_OBJECT" for r in got) == customers
