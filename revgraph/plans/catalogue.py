@@ -387,14 +387,14 @@ def edge_buckets(spark, d):
     return partition.edge_buckets(_edges(spark, d), 4).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def _written(spark: SparkSession, d: str, name: str) -> str:
+def _written(spark: SparkSession, d: str, name: str, kept: str = "kind in ('layer', 'resource', 'source_code')") -> str:
     import uuid
 
     from revgraph.sources.batch import write_records
 
     base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
     path = f"{base}/{name}-{uuid.uuid4().hex}"
-    write_records(_records(spark, d).where("kind in ('layer', 'resource', 'source_code')").withColumn("line", F.element_at("fields", 2)), path + "/in")
+    write_records(_records(spark, d).where(kept).withColumn("line", F.element_at("fields", 2)), path + "/in")
     return path
 
 
@@ -415,3 +415,26 @@ def stream_group_commit(spark, d):
 
     path = _written(spark, d, "stream")
     return counts_by_kind(spark, path + "/in", path + "/checkpoint", "g" + uuid.uuid4().hex).withColumnRenamed("count", "n")
+
+
+_RESULTS = f"""SELECT kind, CASE WHEN kind = 'strange' THEN 'unknown' WHEN kind = 'node' AND arity NOT IN (6, 7) OR kind = 'node_attribute' AND arity <> 4 THEN 'error' ELSE 'ok' END AS result, count(*) AS n
+    FROM ({_RECORDS}) GROUP BY 1, 2"""
+
+
+@query(_RESULTS)
+def csv_roundtrip_all(spark, d):
+    """All records written as CSV and scanned again, wrong arities as errors."""
+    from revgraph.sources.batch import result_of_record, scan
+
+    return scan(spark, _written(spark, d, "csv", "true") + "/in").groupBy("kind", result_of_record().alias("result")).agg(F.count("*").alias("n"))
+
+
+@query(_RESULTS)
+def stream_group_commit_all(spark, d):
+    """The same through an available-now stream."""
+    import uuid
+
+    from revgraph.streaming.group_commit import counts_by_result
+
+    path = _written(spark, d, "stream", "true")
+    return counts_by_result(spark, path + "/in", path + "/checkpoint", "g" + uuid.uuid4().hex)

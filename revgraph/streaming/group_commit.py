@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from revgraph.model import LAYOUTS
 from revgraph.plans.merge import merge_files
-from revgraph.sources.batch import ABSENT, WIDTH
+from revgraph.sources.batch import ABSENT, WIDTH, fields_of_columns, result_of_record
 from revgraph.sources.store import Store
 
 
@@ -40,3 +40,11 @@ def counts_by_kind(spark: SparkSession, folder: str, checkpoint: str, name: str)
     q = stream_records(spark, folder).where(F.col("c0").isin(*LAYOUTS)).groupBy(F.col("c0").alias("kind")).count().writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def counts_by_result(spark: SparkSession, folder: str, checkpoint: str, name: str) -> DataFrame:
+    """All records of all files of a folder by kind and result, through one available-now stream into memory."""
+    rows = stream_records(spark, folder).select(fields_of_columns().alias("fields")).withColumn("kind", F.element_at("fields", 1))
+    q = rows.groupBy("kind", result_of_record().alias("result")).agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)

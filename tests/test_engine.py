@@ -231,3 +231,9 @@ def test_perspectives_reach_every_part(spark, tmp_path):
         met, sources = {r.dst for r in got}, {r.src for r in got}
         assert len(sources) == customers and len(got) <= 3 * customers + parts
         assert len(met) == parts and sum(r.result == "NEW_OBJECT" for r in got) == customers
+
+
+@pytest.mark.parametrize("name", ["csv_roundtrip_all", "stream_group_commit_all"])
+def test_all_kinds_pass_the_csv(spark, name):
+    got = {(r.kind, r.result) for r in catalogue_queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {(k, "ok") for k in ("layer", "resource", "node", "edge", "node_attribute", "source_code")} | {("node", "error"), ("node_attribute", "error"), ("strange", "unknown")}
