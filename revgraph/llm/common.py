@@ -1,12 +1,14 @@
-"""Helpers shared by the operators: shared folder, lineage cuts, Arrow mapping, global prefix sums, components."""
+"""Helpers shared by the operators: shared folder, lineage cuts, Arrow mapping, prefix sums, components, meeting of equal keys, hashes."""
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +34,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like cut(), but as a Parquet table, for wide rows that later steps read by column."""
+    """Like cut(), but as a Parquet table, for rows that later steps read by column or that discard() is to remove."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored() tables that nothing reads any more: all that came of them is cut or stored itself."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of frames that are gone; it waits for collections of the driver's heap."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def tasks_for(rows: int, each: int, spark: SparkSession) -> int:
+    """Tasks for so many rows, at most as many as a shuffle has."""
+    return max(1, min(partitions(spark), -(-rows // each)))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -46,6 +68,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_column(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
@@ -154,18 +184,72 @@ def ranked(slim: DataFrame, order: list[str], size: str, n: int | None = None) -
     return out, rows, total
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges up to which one task finds components by itself (16 bytes each); more edges take several tasks and rounds.
+EDGES_A_TASK = 1_000_000
+
+
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some edges and, for each, the smallest id that these edges reach from it."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(ids))
+    while len(x):
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    return ids, ids[root]
+
+
+def contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """(u, v), u > v: in each of so many tasks, stars in place of the edges (a, b) that lie there."""
+
+    def run(batches):
+        held, rows = [], 0
+
+        def star() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            ids, roots = local_roots(t.column(0).to_numpy(), t.column(1).to_numpy())
+            u = ids != roots
+            return pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(roots[u])], names=["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > 2 * EDGES_A_TASK:  # keep the stars only
+                held = [star().rename_columns(["a", "b"])]
+                rows = held[0].num_rows
+                if rows > EDGES_A_TASK:
+                    yield held[0].rename_columns(["u", "v"])
+                    held, rows = [], 0
+        if held:
+            yield star()
+        held = None
+        release_memory()
+
+    return edges.select("a", "b").coalesce(tasks).mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame, count: int | None = None) -> DataFrame:
     """Connected components of (a, b) as (id, root), root the smallest id; for ids that have an edge.
 
-    Alternating large-star and small-star steps: each round is two minimum aggregations and two joins, never a
-    collected neighbourhood, so a hub costs no more than its edges. Ends when a round changes nothing.
+    Every task first replaces the edges it holds by stars. EDGES_A_TASK edges or fewer lie in one task and are done;
+    else alternating large-star and small-star steps follow: each round is two minimum aggregations and two joins,
+    never a collected neighbourhood. The edges of a hub are held against the minimum of the hub by a join that adaptive
+    execution splits. Ends when a round changes nothing.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    spark = edges.sparkSession
+    count = edges.count() if count is None else count
+    tasks = tasks_for(count, EDGES_A_TASK, spark)
+    e = cut(contracted(edges.where("a is not null and b is not null"), tasks))
     before = None
-    while True:
+    while count > EDGES_A_TASK:
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if before == now or not now[0]:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
+            break
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -173,6 +257,108 @@ def components(edges: DataFrame) -> DataFrame:
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.union(low2.select("u", F.col("m").alias("v"))).distinct())
+    return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
+
+
+# --- meeting of equal keys ----------------------------------------------------------------------------------------
+
+#: Keys that one bucket holds on average.
+KEYS_A_BUCKET = 1_500_000
+ENTRY = np.dtype([("id", "<i8"), ("need", "<i4"), ("n", "<i4"), ("band", "i1")])
+
+
+def shared_keys(rows: DataFrame, keyed, count: int) -> DataFrame:
+    """(piece, id, band, need) of the keys that two or more rows of `keyed` have.
+
+    keyed(table) gives one array of ENTRY (n: how many keys it has) and the 64-bit keys of all entries in their order;
+    count: about how many keys there are, from which the number of buckets follows.
+
+    Tasks route packed arrays of keys to buckets by value, in which equal keys meet; only shared keys leave the buckets.
+    What a batch already knows to be shared goes past the buckets, in bundles of that batch, and only a mark tells the
+    bucket of it: a key that a third of all rows have costs its bucket one mark for each batch. Keys travel as their
+    bucket and their low 48 bits (40 with over 2**15 buckets): chance matches cost a comparison later, no result.
+    """
+    bits = min(23, max(2, (-(-count // KEYS_A_BUCKET)).bit_length()))
+    width = 6 if bits <= 15 else 5
+    mark = np.iinfo(np.int32).min  # in the place of need
+    low_bits = np.uint64((1 << 8 * width) - 1)
+    routed_ddl, ddl = "bucket long, entries binary, pieces binary", "piece long, id long, band int, need long"
+    out, made = arrow_schema(routed_ddl), arrow_schema(ddl)
+
+    def packed(bucket: int, meta: np.ndarray, at: np.ndarray, pieces: np.ndarray, marks: int = 0) -> pa.RecordBatch:
+        """One row; at: the sorted owners of the pieces that no mark stands for, which come last."""
+        who, n = np.unique(at, return_counts=True)
+        entries = meta[who]
+        entries["n"] = n
+        if marks:
+            entries = np.append(entries, np.array([(0, mark, marks, 0)], ENTRY))
+        columns = b"".join(entries[c].tobytes() for c in ENTRY.names)
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([columns], pa.binary()), pa.array([pieces.tobytes()], pa.binary())], schema=out)
+
+    def route(batches):
+        from pyspark import TaskContext
+
+        bundle = -1 - (TaskContext.get().partitionId() << 32)  # below 0 and of its own for each batch
+        for t in gathered(batches, 1 << 20, 20_000):
+            meta, key = keyed(t)
+            if not len(key):
+                continue
+            at = np.repeat(np.arange(len(meta), dtype=np.int32), meta["n"])
+            order = np.argsort(key)
+            key, at = key[order], at[order]
+            first = np.ones(len(key) + 1, bool)
+            first[1:-1] = key[1:] != key[:-1]
+            twice = ~(first[:-1] & first[1:])
+            bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+            if twice.any():
+                order = np.flatnonzero(twice)[np.argsort(at[twice], kind="stable")]
+                yield packed(bundle, meta, at[order], (key[order] & low_bits).view(np.int64) | bucket[order] << 8 * width)
+                bundle -= 1
+            marked = twice & first[:-1]
+            keep = np.flatnonzero(~twice | marked)
+            key, at, bucket = key[keep], np.where(marked[keep], len(meta), at[keep]), bucket[keep]
+            order = np.lexsort((at, bucket))
+            key, at, bucket = key[order], at[order], bucket[order]
+            found, edges = np.unique(bucket, return_index=True)
+            narrow = key.view(np.uint8).reshape(-1, 8)[:, :width]
+            for b, lo, hi in zip(found.tolist(), edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
+                real = int(np.searchsorted(at[lo:hi], len(meta)))
+                yield packed(b, meta, at[lo : lo + real], narrow[lo:hi], hi - lo - real)
+
+    def unpacked(columns) -> np.ndarray:
+        raw = columns.as_py()
+        part, at = np.empty(len(raw) // ENTRY.itemsize, ENTRY), 0
+        for c in ENTRY.names:
+            part[c] = np.frombuffer(raw, ENTRY[c], len(part), at)
+            at += len(part) * ENTRY[c].itemsize
+        return part
+
+    def meet(t: pa.Table) -> pa.Table:
+        bucket = t.column("bucket")[0].as_py()
+        parts = np.concatenate([unpacked(x) for x in t.column("entries")])
+        at = np.repeat(np.arange(len(parts), dtype=np.int32), parts["n"])
+        if bucket < 0:
+            piece = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("pieces")])
+        else:
+            key = []
+            for x in t.column("pieces"):
+                narrow = np.frombuffer(x.as_py(), np.uint8).reshape(-1, width)
+                wide = np.zeros((len(narrow), 8), np.uint8)
+                wide[:, :width] = narrow
+                key.append(wide.view(np.uint64)[:, 0])
+            key = np.concatenate(key)
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+            # shared: of two entries, or of one and another batch's mark
+            same = np.zeros(len(key), bool)
+            same[1:] = key[1:] == key[:-1]
+            same[:-1] |= same[1:]
+            same &= parts["need"][at] != mark
+            piece, at = key[same].view(np.int64) | bucket << 8 * width, at[same]
+        found = parts[at]
+        return pa.table([piece, found["id"], found["band"].astype(np.int32), found["need"].astype(np.int64)], schema=made)
+
+    return rows.mapInArrow(route, routed_ddl).groupBy("bucket").applyInArrow(meet, ddl)
 
 
 # --- vector hashing of byte buffers -------------------------------------------------------------------------------
@@ -187,7 +373,8 @@ def _constants(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 class PrefixHash:
     """Polynomial hashes modulo 2**64 of any substrings of a buffer, from prefix sums; each byte counts by a random word.
 
-    Seeds differ in the words of the bytes; the powers of the base are shared.
+    For choosing places only, where equal hashes of different strings cost a comparison and no result: strings of over
+    1,000 bytes with much structure can collide. What decides equality uses PrimeHash or word_hashes.
     """
 
     BASE = 0x9E3779B97F4A7C15 | 5
@@ -225,6 +412,83 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_P, _LOW31, _LOW30 = np.uint64((1 << 61) - 1), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    x = (x >> np.uint64(61)) + (x & _P)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times_p(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    middle = a0 * b1 + a1 * b0
+    return _folded(np.uint64(2) * a1 * b1 + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + a0 * b0)
+
+
+class PrimeHash:
+    """Polynomial hashes modulo the prime 2**61 - 1 of any substrings of a buffer; base and byte values are random."""
+
+    _powers: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __init__(self, data: np.ndarray, seed: int = 1):
+        n = len(data) + 1
+        if PrimeHash._powers is None or len(PrimeHash._powers[0]) < n:
+            made = self._made(max(n, 1 << 16) * 5 // 4)
+            if n <= 4 << 20:
+                PrimeHash._powers = made
+        else:
+            made = PrimeHash._powers
+        words = np.random.default_rng(seed).integers(1, int(_P), size=256, dtype=np.uint64)
+        counted = times_p(words[data], made[0][: n - 1])
+        self.inverses = made[1]
+        high, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        np.cumsum(counted >> np.uint64(31), out=high[1:])
+        np.cumsum(counted & _LOW31, out=low[1:])
+        self.sums = _folded(_folded(times_p(_folded(high), np.full(1, 1 << 31, np.uint64))) + _folded(low))
+
+    @staticmethod
+    def _made(n: int) -> tuple[np.ndarray, np.ndarray]:
+        base = int(np.random.default_rng(61).integers(1 << 60, int(_P)))
+        out = []
+        for b in (base, pow(base, -1, int(_P))):
+            x, size = np.ones(n, np.uint64), 1
+            while size < n:  # doubling: the next powers are the first ones times base ** size
+                more = min(size, n - size)
+                x[size : size + more] = times_p(x[:more], np.full(1, pow(b, size, int(_P)), np.uint64))
+                size += more
+            out.append(x)
+        return out[0], out[1]
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return times_p(_folded(self.sums[ends] + _P - self.sums[starts]), self.inverses[starts])
+
+
+#: Words up to so many bytes are hashed by steps of eight bytes; longer ones one by one.
+LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of short strings of a buffer: eight bytes at a time, all bits mixed after each step."""
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    at, done = np.flatnonzero(size <= LONG_WORD), 0
+    while True:
+        at = at[size[at] > done]
+        if not len(at):
+            break
+        block, left = eight[starts[at] + done], np.minimum(size[at] - done, 8).astype(np.uint64)
+        block &= np.uint64((1 << 64) - 1) >> (np.uint64(64) - left * np.uint64(8))
+        out[at] = mixed((out[at] ^ block) + np.uint64(0x9E3779B97F4A7C15))
+        done += 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, all other bytes as they are."""
     return np.frombuffer(data.tobytes().lower(), np.uint8)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgraph.llm.common import arrow_schema, cut, map_tables, partitions, text_buffer, text_column
+from revgraph.llm.common import arrow_schema, cut, free_name, map_tables, partitions, text_buffer, text_column
 
 #: Fingerprints up to which those seen more than once are broadcast (8 bytes each); beyond, they join by a shuffle.
 BROADCAST_FINGERPRINTS = 1_000_000
@@ -114,5 +114,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if not twice.head(1):
         return out
     same = docs["doc_id"].cast("long").eqNullSafe(twice["twice_id"])
-    again = out.join(twice, same, "left_semi").withColumn("_normal", F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return out.join(twice, same, "left_anti").unionByName(again.dropDuplicates(["doc_id", "_normal"]).drop("_normal"))
+    normal = free_name(docs, "_normal")
+    again = out.join(twice, same, "left_semi").withColumn(normal, F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return out.join(twice, same, "left_anti").unionByName(again.dropDuplicates(["doc_id", normal]).drop(normal))

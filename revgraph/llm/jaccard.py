@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgraph.llm.common import PrefixHash, arrow_schema, components, cut, gathered, lowered, map_tables, mixed, partitions, sliced, stored, text_buffer, text_column
+from revgraph.llm.common import ENTRY, KEYS_A_BUCKET, arrow_schema, components, cut, discard, free_name, gathered, lowered, map_tables, mixed, shared_keys, sliced, stored, tasks_for, text_buffer, text_column, tidy, word_hashes
 
 WORDS = 5
 SINGLE, DENSE = 64, 512
 ROUND, GROW, BLOCK, SKETCH = 4, 8, 4096, 1024
+#: Rows of pieces, and pairs to verify, for which one task suffices.
+ROWS_A_TASK, PAIRS_A_TASK = 200_000, 20_000
 #: Ids up to which a list of documents is broadcast (8 bytes each), and rows up to which their sketches are
 #: (some 150 bytes each); beyond, they join by a shuffle.
 BROADCAST_IDS, BROADCAST_SKETCHES = 1_000_000, 100_000
@@ -59,7 +61,7 @@ def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(begins)
     ends = np.flatnonzero(gap | edge)
     ends = ends[np.searchsorted(ends, starts, side="right")]
-    word = mixed(PrefixHash(data, 11).of(starts, ends) ^ (ends - starts).astype(np.uint64))
+    word = word_hashes(data, starts, ends)
     doc = np.searchsorted(offsets, starts, side="right") - 1
     first = np.searchsorted(doc, np.arange(n + 1))  # words of each document
     counts = np.diff(first)
@@ -119,106 +121,23 @@ def set_classes(read: DataFrame) -> DataFrame:
     return map_tables(read, _sets, "doc_id long, n_shingles long, mark long, mark2 long")
 
 
-def shared_pieces(texts: DataFrame) -> DataFrame:
-    """(piece, id, band, need) of the sketch pieces that two or more documents have; need: how many each must share.
+def _sketched(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of the sketches of a batch, with their documents, bands and how many any partner must share."""
+    values, offsets = shingle_sets(t.column("text"))
+    ids = np.asarray(t.column("doc_id"))
+    keys, owner = [np.zeros(0, np.uint64)], []
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        if b > a:
+            for band, pieces, d in bands(b - a):
+                piece = sketch(values[a:b], band, pieces)
+                keys.append(piece)
+                owner.append((ids[i], len(piece) - d, len(piece), band))
+    return np.array(owner, ENTRY), np.concatenate(keys)
 
-    Tasks route packed arrays of piece values to buckets by value, in which equal values meet; only shared pieces
-    leave the buckets. What a batch already knows to be shared goes past the buckets, in bundles of that batch, and only
-    a mark tells the bucket of it: a piece that a third of all documents have costs its bucket one mark for each batch.
-    Values travel as the bucket and 48 bits: chance matches cost a verification, no result.
-    """
-    bits = max(2, (partitions(texts.sparkSession) * 2 // 3).bit_length())
-    entry = np.dtype([("id", "<i8"), ("need", "<i4"), ("n", "<i4"), ("band", "i1")])
-    mark = np.iinfo(np.int32).min  # in the place of need
-    low48 = np.uint64((1 << 48) - 1)
-    routed_ddl, ddl = "bucket long, entries binary, pieces binary", "piece long, id long, band int, need long"
-    out, made = arrow_schema(routed_ddl), arrow_schema(ddl)
-
-    def packed(bucket: int, meta: np.ndarray, at: np.ndarray, pieces: np.ndarray, marks: int = 0) -> pa.RecordBatch:
-        """One row; at: the sorted owners of the pieces that no mark stands for, which come last."""
-        who, n = np.unique(at, return_counts=True)
-        entries = meta[who]
-        entries["n"] = n
-        if marks:
-            entries = np.append(entries, np.array([(0, mark, marks, 0)], entry))
-        columns = b"".join(entries[c].tobytes() for c in entry.names)
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([columns], pa.binary()), pa.array([pieces.tobytes()], pa.binary())], schema=out)
-
-    def route(batches):
-        from pyspark import TaskContext
-
-        bundle = -1 - (TaskContext.get().partitionId() << 32)  # below 0 and of its own for each batch
-        for t in gathered(batches, 1 << 20, 20_000):
-            values, offsets = shingle_sets(t.column("text"))
-            ids = np.asarray(t.column("doc_id"))
-            keys, owner = [], []
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                if b > a:
-                    for band, pieces, d in bands(b - a):
-                        piece = sketch(values[a:b], band, pieces)
-                        keys.append(piece)
-                        owner.append((ids[i], len(piece) - d, len(piece), band))
-            if not keys:
-                continue
-            meta = np.array(owner, entry)
-            key, at = np.concatenate(keys), np.repeat(np.arange(len(owner), dtype=np.int32), meta["n"])
-            order = np.argsort(key)
-            key, at = key[order], at[order]
-            first = np.ones(len(key) + 1, bool)
-            first[1:-1] = key[1:] != key[:-1]
-            twice = ~(first[:-1] & first[1:])
-            bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
-            if twice.any():
-                order = np.flatnonzero(twice)[np.argsort(at[twice], kind="stable")]
-                yield packed(bundle, meta, at[order], (key[order] & low48).view(np.int64) | bucket[order] << 48)
-                bundle -= 1
-            marked = twice & first[:-1]
-            keep = np.flatnonzero(~twice | marked)
-            key, at, bucket = key[keep], np.where(marked[keep], len(owner), at[keep]), bucket[keep]
-            order = np.lexsort((at, bucket))
-            key, at, bucket = key[order], at[order], bucket[order]
-            edges = np.searchsorted(bucket, np.arange((1 << bits) + 1)).tolist()
-            narrow = key.view(np.uint8).reshape(-1, 8)[:, :6]
-            for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                if hi > lo:
-                    real = int(np.searchsorted(at[lo:hi], len(owner)))
-                    yield packed(b, meta, at[lo : lo + real], narrow[lo:hi], hi - lo - real)
-
-    def unpacked(columns) -> np.ndarray:
-        raw = columns.as_py()
-        part, at = np.empty(len(raw) // entry.itemsize, entry), 0
-        for c in entry.names:
-            part[c] = np.frombuffer(raw, entry[c], len(part), at)
-            at += len(part) * entry[c].itemsize
-        return part
-
-    def meet(t: pa.Table) -> pa.Table:
-        bucket = t.column("bucket")[0].as_py()
-        parts = np.concatenate([unpacked(x) for x in t.column("entries")])
-        at = np.repeat(np.arange(len(parts), dtype=np.int32), parts["n"])
-        if bucket < 0:
-            piece = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("pieces")])
-        else:
-            key = []
-            for x in t.column("pieces"):
-                narrow = np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6)
-                wide = np.zeros((len(narrow), 8), np.uint8)
-                wide[:, :6] = narrow
-                key.append(wide.view(np.uint64)[:, 0])
-            key = np.concatenate(key)
-            order = np.argsort(key, kind="stable")
-            key, at = key[order], at[order]
-            # shared: of two entries, or of one and another batch's mark
-            same = np.zeros(len(key), bool)
-            same[1:] = key[1:] == key[:-1]
-            same[:-1] |= same[1:]
-            same &= parts["need"][at] != mark
-            piece, at = key[same].view(np.int64) | bucket << 48, at[same]
-        found = parts[at]
-        return pa.table([piece, found["id"], found["band"].astype(np.int32), found["need"].astype(np.int64)], schema=made)
-
-    routed = texts.select("doc_id", "text").mapInArrow(route, routed_ddl)
-    return routed.groupBy("bucket").applyInArrow(meet, ddl)
+
+def shared_pieces(texts: DataFrame, shingles: int = KEYS_A_BUCKET) -> DataFrame:
+    """(piece, id, band, need) of the sketch pieces that two or more documents have; need: how many each must share."""
+    return shared_keys(texts.select("doc_id", "text"), _sketched, 3 * shingles // 2)  # some sets are in two bands
 
 
 def _few(ids: DataFrame):
@@ -226,17 +145,19 @@ def _few(ids: DataFrame):
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def shared_groups(texts: DataFrame) -> DataFrame:
+def shared_groups(texts: DataFrame, shingles: int) -> DataFrame:
     """(piece, id, low, n): the documents that meet in a piece, for documents that share enough pieces to have a partner.
 
     Pieces that the same documents share say the same, so one of them stands for all.
     """
-    shared = stored(shared_pieces(texts), "pieces")
+    shared = stored(shared_pieces(texts, shingles), "pieces")
     enough = cut(shared.groupBy("id", "band").agg(F.count("*").alias("n"), F.first("need").alias("least")).where("n >= least").select("id", "band"))
     left = shared.join(_few(enough), ["id", "band"], "left_semi")
     groups = left.groupBy("piece").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("mark2")).where("low <> high")
     one = cut(groups.groupBy("low", "high", "n", "mark", "mark2").agg(F.min("piece").alias("piece")).select("piece", "low", "n"))
-    return left.select("piece", "id").join(_few(one), "piece").distinct()
+    out = stored(left.select("piece", "id").join(_few(one), "piece").distinct(), "members")
+    discard(shared)
+    return out
 
 
 def _packed_sets(t: pa.Table):
@@ -367,48 +288,61 @@ def crossing(members: DataFrame, sketches: DataFrame, low: int, high: int) -> Da
     return rows.mapInArrow(run, "a long, b long, more boolean")
 
 
-def linked_ids(texts: DataFrame) -> DataFrame:
-    """(id, root) of every document that is linked with another; texts: doc_id, text, one row for each class."""
-    members = cut(shared_groups(texts))
+def linked_ids(texts: DataFrame, shingles: int) -> DataFrame:
+    """(id, root) of every document that is linked with another.
+
+    texts: doc_id, text, one row for each class; shingles: how many they have together.
+    """
+    spark = texts.sparkSession
+    members = shared_groups(texts, shingles)
     ids = cut(members.select("id").distinct())
     sets = stored(map_tables(texts.join(_few(ids), texts["doc_id"] == ids["id"], "left_semi"), _packed_sets, "id long, n long, sketch binary, shingles binary", 1 << 20, 1000), "sets")
     sketches = sets.select("id", "n", "sketch")
     pairs = plausible(members.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), sketches)
     links = cut(verified(pairs, sets))
-    members = members.where("id > low").select("piece", "id", "n")  # the smallest ids' pairs are settled
     roots = components(links)
-    rooted = members.join(roots, "id", "left").select("piece", "id", "n", F.coalesce("root", "id").alias("first_root")).withColumn("root", F.col("first_root"))
-    rooted = _open(rooted)
-    low, high, more = 0, ROUND, True
+    rest = members.where("id > low").select("piece", "id", "n")  # the smallest ids' pairs are settled
+    rooted = rest.join(roots, "id", "left").select("piece", "id", "n", F.coalesce("root", "id").alias("first_root")).withColumn("root", F.col("first_root"))
+    rooted, rows = _open(rooted)
+    discard(members)
+    low, high, more = 0, ROUND, rows > 0
     while more:
+        tidy(spark)
         found = cut(crossing(rooted, sketches, low, high).groupBy("a", "b").agg(F.max("more").alias("more")))
-        more = bool(found.where("more").head(1))
-        new = cut(verified(found.where("not more").select("a", "b"), sets))
-        if new.head(1):
-            links = cut(links.unionByName(new))
-            roots = components(links)
-            if more:
-                rooted = _open(rooted.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+        counted = found.groupBy("more").count().collect()  # at most two rows
+        more = any(r["more"] for r in counted)
+        count = sum(r["count"] for r in counted if not r["more"])
+        if count:
+            new = cut(verified(found.where("not more").select("a", "b").coalesce(tasks_for(count, PAIRS_A_TASK, spark)), sets))
+            if new.head(1):
+                links = cut(roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(new))
+                roots = components(links)
+                if more:
+                    rooted, rows = _open(rooted.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
         low, high = high, high * GROW
+    discard(sets)
     return roots
 
 
-def _open(rooted: DataFrame) -> DataFrame:
-    """The members of pieces whose documents do not yet lie in one component."""
+def _open(rooted: DataFrame) -> tuple[DataFrame, int]:
+    """The members of pieces whose documents do not yet lie in one component, and their number."""
     left = cut(rooted.groupBy("piece").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("piece"))
-    return cut(rooted.join(_few(left), "piece", "left_semi"))
+    out = cut(rooted.join(_few(left), "piece", "left_semi"))
+    rows = out.count()
+    return out.coalesce(tasks_for(rows, ROWS_A_TASK, out.sparkSession)), rows
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column())
-    slim = cut(set_classes(read))
+    slim = stored(set_classes(read), "sets")
+    shingles = slim.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     full = slim.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("n_shingles", "mark", "mark2").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("high"))
     copies = cut(classes.where("class_id <> high").drop("high"))
     spare = cut(full.join(copies, ["n_shingles", "mark", "mark2"]).where("doc_id <> class_id").select("doc_id").distinct())
     texts = read.where("doc_id is not null").join(_few(spare), "doc_id", "left_anti")
-    roots = linked_ids(texts)
+    roots = linked_ids(texts, shingles)
     return (
         slim.join(copies, ["n_shingles", "mark", "mark2"], "left")
         .withColumn("id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
@@ -419,5 +353,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """All columns of one document of each group: the smallest doc_id; rows without links stay."""
-    gone = cut(near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(_few(gone), docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    mark = free_name(docs, "gone_id")
+    gone = cut(near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct())
+    return docs.join(_few(gone), docs["doc_id"].cast("long") == gone[mark], "left_anti")

@@ -5,22 +5,23 @@ each such class goes on with the others.
 
 Every window is assigned the smallest hash among its substrings of GRAM bytes (its anchor); equal windows have equal
 anchors at equal offsets, so only windows of equal anchors need comparing, and consecutive windows of one anchor form
-a span. Spans of equal hashes (two independent 64-bit ones: the anchor's and the span's) repeat as a whole. Spans that
-equal no other but share their anchor are settled by suffix sorting: around each anchor, the suffixes to the right and
-the reversed prefixes to the left are put in order by a merge sort whose comparisons find the common extension by
-binary search over prefix polynomial hashes. The extensions to the neighbours in order bound the windows that can be
-repeated; those are matched by hash and verified byte by byte.
+a span. Spans whose bytes are equal, as their 128-bit BLAKE2b digests tell, repeat as a whole. Spans that equal no
+other but share their anchor are settled by suffix sorting: around each anchor, the suffixes to the right and the
+reversed prefixes to the left are put in order by a merge sort whose comparisons find the common extension by binary
+search over prefix polynomial hashes (modulo a prime). The extensions to the neighbours in order bound the windows that
+can be repeated; those are matched by hash and verified byte by byte.
 
-Anchors shared by more than HOT different spans do not go to one task: their windows are counted as rows by two 64-bit
-hashes instead. All joins are by key on the engine, whole texts are read, and strings are judged on the input.
+The suffixes of an anchor that more than HOT different spans share would not fit one task; there the windows themselves
+are rows that meet by the digests of their bytes, with the same result. All joins are by key on the engine, whole texts
+are read, and strings are judged on the input.
 
 `without_repeats` can judge passages by words as well: every word becomes WORD_BYTES letters of its 64-bit hash, and the
 same search runs over these letters with a window of that many words; matches are exact up to equal 48-bit word hashes.
 What either search finds in the input is removed.
 
-Null texts count as empty; texts shorter than the window keep every byte; null doc_ids are judged like others of their
-text; repeated rows are copies of each other; an empty table gives no rows; extra columns are ignored by `removals` and
-returned by `without_repeats`. doc_id is a key: rows that repeat one with another text are not told apart.
+Null texts count as empty; texts shorter than the window keep every byte; rows whose doc_id is null or stands with
+several texts are told apart by their text; repeated rows are copies of each other; an empty table gives no rows; extra
+columns, whatever their names, are ignored by `removals` and returned by `without_repeats`.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgraph.llm.common import PrefixHash, arrow_schema, cut, gathered, map_tables, mixed, sliced, stored, text_buffer, text_column
+from revgraph.llm.common import PrefixHash, PrimeHash, arrow_schema, cut, discard, free_name, gathered, map_tables, mixed, sliced, stored, text_buffer, text_column
 
 WINDOW, GRAM = 400, 64
 HOT = 20_000
@@ -60,16 +61,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """(text, anchor hash, span hash, first start, last start, anchor) of every span; places within the text."""
+    """(text, anchor hash, span digest, first start, last start, anchor) of every span; places within the text."""
     out = []
+    raw = memoryview(data)
     ends = np.repeat(offsets[1:], np.diff(offsets))
     for s in range(0, len(data), SEGMENT):
         part = data[s : s + SEGMENT + window - 1]
         if len(part) < window:
             break
         n = len(part) - window + 1
-        one, two = PrefixHash(part, 21), PrefixHash(part, 22)
-        grams = mixed(one.windows(gram))
+        grams = mixed(PrefixHash(part, 21).windows(gram))
         low = sliding_min((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), window - gram + 1)
         at = np.flatnonzero(ends[s : s + n] - np.arange(s, s + n) >= window)
         if not len(at):
@@ -81,16 +82,23 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: i
         first, last, p = at[edge[:-1]], at[edge[1:] - 1], p[edge[:-1]]
         doc = np.searchsorted(offsets, first + s, side="right") - 1
         base = offsets[doc] - s
-        out.append((doc, grams[p].view(np.int64), mixed(two.of(first, last + window)).view(np.int64), first - base, last - base, p - base))
+        out.append((doc, grams[p].view(np.int64), digests(raw, first + s, last + s + window), first - base, last - base, p - base))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
 
 
+def digests(raw, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2b digests of parts of a buffer."""
+    out = np.empty(len(starts), object)
+    out[:] = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+    return out
+
+
 class Suffixes:
     """Suffixes of one buffer, each ending at its own stop, compared by the common extension of prefix hashes."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray):
         self.data, self.starts, self.lengths = data, starts, stops - starts
-        self.hash = PrefixHash(data, 31)
+        self.hash = PrimeHash(data, 31)
 
     def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common beginning of suffixes i and j, by binary search."""
@@ -174,7 +182,7 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, a
     counts = last[some] - first[some] + 1
     owner = np.repeat(some, counts)
     starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[owner]
-    key = mixed(PrefixHash(data, 41).of(starts, starts + window)) ^ mixed(group_at[owner].astype(np.uint64) + np.uint64(1))
+    key = mixed(PrimeHash(data, 41).of(starts, starts + window)) ^ mixed(group_at[owner].astype(np.uint64) + np.uint64(1))
     order = np.argsort(key, kind="stable")
     key, owner, starts = key[order], owner[order], starts[order]
     same = np.flatnonzero(key[1:] == key[:-1])
@@ -251,18 +259,15 @@ def _settle(window: int):
 
 
 def _window_rows(window: int):
-    schema = arrow_schema("kh long, one long, two long, doc_id long, start int, single boolean")
-
     def step(t: pa.Table):
         data, offsets = text_buffer(t.column("bytes"))
         counts = np.diff(offsets) - window + 1
         owner = np.repeat(np.arange(len(counts)), counts)
         starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[owner]
         place = (starts - offsets[owner] + np.asarray(t.column("first"), np.int64)[owner]).astype(np.int32)
-        hashes = [mixed(PrefixHash(data, seed).of(starts, starts + window)).view(np.int64) for seed in (41, 42)]
-        return [np.asarray(t.column("kh"))[owner], *hashes, np.asarray(t.column("doc_id"))[owner], place, np.asarray(t.column("single"))[owner]]
+        return [np.asarray(t.column("kh"))[owner], digests(memoryview(data), starts, starts + window), np.asarray(t.column("doc_id"))[owner], place, np.asarray(t.column("single"))[owner]]
 
-    return step, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'int' if f.type == pa.int32() else 'boolean'}" for f in schema)
+    return step, "kh long, digest binary, doc_id long, start int, single boolean"
 
 
 def _few(ids: DataFrame):
@@ -270,10 +275,11 @@ def _few(ids: DataFrame):
 
 
 def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, start, stop): byte ranges of repeated windows in texts (doc_id, text), one row for each different text."""
-    spans = stored(map_tables(texts, _anchor_rows(window, gram), "doc_id long, kh long, sh long, first int, last int, p int"), "spans")
+    """(doc_id, ranges): the byte ranges of repeated windows in texts (doc_id, text), one row for each different text."""
+    spans = stored(map_tables(texts, _anchor_rows(window, gram), "doc_id long, kh long, sh binary, first int, last int, p int"), "spans")
     again = spans.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh")
-    shared = cut(spans.join(_few(cut(again)), "kh", "left_semi"))  # both sides cut, so a hot anchor's partition can be split
+    shared = stored(spans.join(_few(cut(again)), "kh", "left_semi"), "shared")  # stored, so a hot anchor's partition can be split
+    discard(spans)
     classes = cut(shared.groupBy("kh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "last", "p")).alias("rep")))
     whole = shared.join(classes.where("n > 1").select("kh", "sh"), ["kh", "sh"], "left_semi").select("doc_id", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
     mixed_groups = classes.groupBy("kh").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("kh", (F.col("kinds") > hot).alias("hot"))
@@ -285,9 +291,12 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     settled = contexts.where("not hot").drop("hot").repartition("kh").sortWithinPartitions("kh").mapInArrow(_settle(window), "doc_id long, start int, stop int")
     step, ddl = _window_rows(window)
     windows = map_tables(contexts.where("hot").drop("hot"), step, ddl, 1 << 20)
-    twice = windows.groupBy("kh", "one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = windows.where("single").join(twice, ["kh", "one", "two"], "left_semi").select("doc_id", "start", (F.col("start") + window).alias("stop"))
-    return whole.unionByName(settled).unionByName(counted)
+    twice = windows.groupBy("kh", "digest").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    counted = windows.where("single").join(twice, ["kh", "digest"], "left_semi").select("doc_id", "start", (F.col("start") + window).alias("stop"))
+    ranges = whole.unionByName(settled).unionByName(counted).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    out = cut(ranges)
+    discard(shared, contexts)
+    return out
 
 
 def merged_ranges(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -298,23 +307,34 @@ def merged_ranges(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]
     return list(zip(starts[edge].tolist(), stops[np.append(edge[1:] - 1, len(stops) - 1)].tolist(), strict=True))
 
 
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a key that tells texts apart: doc_id, or a hash of the text where doc_id is null or has several texts."""
+    by_text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    several = docs.select(F.col("doc_id").cast("long").alias("id"), by_text.alias("t")).where("id is not null").groupBy("id").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("id")
+    several = cut(several)
+    own = F.col("doc_id").cast("long")
+    if several.head(1):
+        odd = free_name(docs, "odd")
+        marked = several.withColumn(odd, F.lit(True))
+        docs = docs.join(_few(marked), docs["doc_id"].cast("long") == marked["id"], "left").drop(marked["id"])
+        return docs.withColumn(key, F.when(F.col("doc_id").isNull() | F.col(odd), by_text).otherwise(own)).drop(odd)
+    return docs.withColumn(key, F.coalesce(own, by_text))
+
+
 def _judged(docs: DataFrame, window: int, gram: int, hot: int):
-    """The rows' digests, the digests of texts that occur twice, and the ranges of the others by document."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column())
-    read = read.withColumn("doc_key", F.coalesce("doc_id", F.xxhash64("text")))
+    """The rows' digests, the digests of texts that occur twice, and the ranges of the others by key; docs: doc_id, doc_key, text."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "doc_key", text_column())
     slim = cut(read.select("doc_id", "doc_key", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")))
     copies = slim.groupBy("sha").agg(F.min("doc_key").alias("keep"), F.count("*").alias("n")).where("n > 1").select("sha", "keep")
     copies = cut(copies)
     spare = cut(slim.join(copies, "sha").where("doc_key <> keep").select("doc_key").distinct())
     texts = read.select("doc_key", "text").join(_few(spare), "doc_key", "left_anti").select(F.col("doc_key").alias("doc_id"), "text").where(F.octet_length("text") >= window)
-    found = repeats(texts, window, gram, hot)
-    ranges = cut(found.groupBy(F.col("doc_id").alias("doc_key")).agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
-    return read, slim, copies, ranges
+    return read, slim, copies, repeats(texts, window, gram, hot).withColumnRenamed("doc_id", "doc_key")
 
 
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    read, slim, copies, ranges = _judged(docs, window, gram, hot)
+    read, slim, copies, ranges = _judged(_keyed(docs.select("doc_id", "text"), "doc_key"), window, gram, hot)
     ddl = "doc_key long, n_removed long, n_spans long, kept binary"
     schema = arrow_schema(ddl)
 
@@ -396,10 +416,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     Bytes of a character that is cut through go with it. A text that occurs twice and is at least a window long
     becomes empty; its row stays.
     """
-    key = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    cuts = _cuts(docs, window, gram, hot).withColumn("word_ranges", F.lit(None).cast("array<struct<start:int,stop:int>>"))
+    key, found_bytes, found_words = (free_name(docs, c) for c in ("cut_key", "cut_ranges", "cut_words"))
+    marked = _keyed(docs, key)
+    read = marked.select(F.col(key).alias("doc_id"), F.col(key).alias("doc_key"), text_column())
+    cuts = _cuts(read, window, gram, hot).withColumn("word_ranges", F.lit(None).cast("array<struct<start:int,stop:int>>"))
     if words is not None:
-        lettered = map_tables(docs.select(key.alias("doc_id"), text_column()), _lettered, "doc_id long, text string", 1 << 20)
+        lettered = map_tables(read.select("doc_id", "text"), _lettered, "doc_id long, text string", 1 << 20).withColumn("doc_key", F.col("doc_id"))
         found = _cuts(lettered, words * WORD_BYTES, gram, hot).withColumnRenamed("ranges", "by_word")
         cuts = cuts.drop("word_ranges").join(found, "doc_key", "full").select("doc_key", "ranges", F.col("by_word").alias("word_ranges"))
     cuts = cut(cuts)
@@ -417,13 +439,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
         return pd.Series([cleaned(*x) for x in zip(texts, found, by_word, strict=True)], dtype=object)
 
     clean = F.pandas_udf(run, "string")
-    names = docs.columns
     few = cuts.count() <= BROADCAST_IDS
-    marked = docs.withColumn("_cut_key", key)
-    ids = cuts.select(F.col("doc_key").alias("_cut_key"))
-    touched = marked.join(F.broadcast(ids) if few else ids, "_cut_key", "left_semi").join(cuts.select(F.col("doc_key").alias("_cut_key"), F.col("ranges").alias("_cut_ranges"), F.col("word_ranges").alias("_cut_words")), "_cut_key")
-    touched = touched.withColumn("text", clean(F.col("text").cast("string"), F.col("_cut_ranges"), F.col("_cut_words")))
-    if "n_chars" in names:
+    ids = cuts.select(F.col("doc_key").alias(key))
+    by_key = cuts.select(F.col("doc_key").alias(key), F.col("ranges").alias(found_bytes), F.col("word_ranges").alias(found_words))
+    touched = marked.join(F.broadcast(ids) if few else ids, key, "left_semi").join(by_key, key)
+    touched = touched.withColumn("text", clean(F.col("text").cast("string"), F.col(found_bytes), F.col(found_words)))
+    if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    rest = marked.join(F.broadcast(ids) if few else ids, "_cut_key", "left_anti")
-    return touched.select(*names).unionByName(rest.select(*names))
+    rest = marked.join(F.broadcast(ids) if few else ids, key, "left_anti")
+    return touched.select(*docs.columns).unionByName(rest.select(*docs.columns))
