@@ -132,7 +132,7 @@ def sliced(batches, rows: int = 200):
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "binary": pa.binary(), "boolean": pa.bool_()}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(","))])
 
 
@@ -267,6 +267,18 @@ KEYS_A_BUCKET = 1_500_000
 ENTRY = np.dtype([("id", "<i8"), ("need", "<i4"), ("n", "<i4"), ("band", "i1")])
 
 
+def _bucket_bits(count: int) -> tuple[int, int]:
+    """The bits of a bucket's number, and the bytes of a key that travel beside it."""
+    bits = min(23, max(2, (-(-count // KEYS_A_BUCKET)).bit_length()))
+    return bits, 6 if bits <= 15 else 5
+
+
+def pieces_of(keys: np.ndarray, count: int) -> np.ndarray:
+    """What shared_keys() calls these keys."""
+    bits, width = _bucket_bits(count)
+    return (keys & np.uint64((1 << 8 * width) - 1) | (keys >> np.uint64(64 - bits)) << np.uint64(8 * width)).view(np.int64)
+
+
 def shared_keys(rows: DataFrame, keyed, count: int) -> DataFrame:
     """(piece, id, band, need) of the keys that two or more rows of `keyed` have.
 
@@ -278,8 +290,7 @@ def shared_keys(rows: DataFrame, keyed, count: int) -> DataFrame:
     bucket of it: a key that a third of all rows have costs its bucket one mark for each batch. Keys travel as their
     bucket and their low 48 bits (40 with over 2**15 buckets): chance matches cost a comparison later, no result.
     """
-    bits = min(23, max(2, (-(-count // KEYS_A_BUCKET)).bit_length()))
-    width = 6 if bits <= 15 else 5
+    bits, width = _bucket_bits(count)
     mark = np.iinfo(np.int32).min  # in the place of need
     low_bits = np.uint64((1 << 8 * width) - 1)
     routed_ddl, ddl = "bucket long, entries binary, pieces binary", "piece long, id long, band int, need long"
@@ -489,6 +500,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of every w consecutive values, from running minima of blocks in both directions."""
+    n = len(x) - w + 1
+    padded = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max, np.uint64)
+    padded[: len(x)] = x
+    block = padded.reshape(-1, w)
+    ahead = np.minimum.accumulate(block, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, all other bytes as they are."""
     return np.frombuffer(data.tobytes().lower(), np.uint8)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgraph.llm.common import PrefixHash, PrimeHash, arrow_schema, cut, discard, free_name, gathered, map_tables, mixed, sliced, stored, text_buffer, text_column
+from revgraph.llm.common import PrefixHash, PrimeHash, arrow_schema, cut, discard, free_name, gathered, map_tables, mixed, sliced, sliding_min, stored, text_buffer, text_column
 
 WINDOW, GRAM = 400, 64
 HOT = 20_000
@@ -49,17 +49,6 @@ BROADCAST_IDS = 1_000_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of every w consecutive values, from running minima of blocks in both directions."""
-    n = len(x) - w + 1
-    padded = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(x)] = x
-    block = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(block, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM):
     """(text, anchor hash, span digest, first start, last start, anchor) of every span; places within the text."""
     out = []

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from revgraph.llm import common, exact_dedup, jaccard, suffix_dedup
+from revgraph.llm import common, exact_dedup, html_extract, jaccard, suffix_dedup
 from tests.llm.test_operators import brute_components, brute_removals
 
 
@@ -74,6 +74,86 @@ def test_suffix_dedup_of_repeated_ids(spark, hot):
     assert sorted(map(tuple, got), key=key) == sorted(((i, *w) for (i, _), w in zip(texts, want, strict=True)), key=key)
 
 
+def brute_texts(pages):
+    """The rule of the host suffix array, by counting every run of every page in one place."""
+    run, share = html_extract.RUN, html_extract.CORE
+    parsed = [(html_extract.host_of(u), html_extract.blocks(h or "")) for u, h in pages]
+    held_by = {}  # block: contents
+    text_of = {}
+    for host, parts in set((h, tuple(p)) for h, p in parsed if h):
+        for i, (text, n) in html_extract.judged_blocks(host, list(parts)).items():
+            held_by.setdefault(i, set()).add((host, parts))
+            text_of[i] = (host, text.split(" "), n)
+    runs, levels = {}, {}
+    for i, (host, words, n) in text_of.items():
+        for k in range(len(words) - run + 1):
+            runs.setdefault((host, *words[k : k + run]), set()).add(i)
+    for i, (host, words, n) in text_of.items():
+        found = [runs[(host, *words[k : k + run])] for k in range(len(words) - run + 1)]
+        found = sorted(sum(len(held_by[b]) for b in bs) for bs in found) or [len(held_by[i])]
+        levels[i] = next(h for seen, h in enumerate(found, 1) if seen >= share * n) if n else 1
+    base = {}
+    for c in {c for cs in held_by.values() for c in cs}:
+        blocks = sorted((levels[i], text_of[i][2]) for i in html_extract.judged_blocks(c[0], list(c[1])) if text_of[i][2])
+        total, seen = sum(n for _, n in blocks), 0
+        base[c] = 1
+        for h, n in blocks:
+            seen += n
+            if seen >= share * total:
+                base[c] = h
+                break
+    every = set((h, tuple(p)) for h, p in parsed if h)
+    hosts = {}
+    for c in every:
+        hosts[c[0]] = hosts.get(c[0], 0) + 1 / base.get(c, 1)
+    enough = lambda host, cs: sum(1 / base[c] for c in cs) >= (2 if hosts[host] < 3.5 else 3) - 1e-6
+    out = []
+    for host, parts in parsed:
+        kept, texts = html_extract.judged(parts), []
+        for zone, text in parts:
+            i = html_extract.block_id(host, True, text)
+            if zone != kept:
+                continue
+            if host and i in html_extract.judged_blocks(host, parts) and enough(host, held_by[i]):
+                continue
+            words, gone = text.split(" "), set()
+            for k in range(len(words) - run + 1 if host else 0):
+                bs = runs[(host, *words[k : k + run])]
+                if len(bs) > 1 and enough(host, set().union(*(held_by[b] for b in bs))):
+                    gone.update(range(k, k + run))
+            left = [w for k, w in enumerate(words) if k not in gone]
+            if left:
+                texts.append(" ".join(left))
+        out.append("\n".join(texts))
+    return out
+
+
+def test_html_against_counting(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    notices, stories, quotes = [words(n) for n in (8, 11, 30, 5)], [words(60) for _ in range(5)], [words(9) for _ in range(4)]
+    pages = []
+    for k in range(110):
+        host = rng.choice(["a", "a", "a", "b", "c", "d", "e", "f"])
+        parts = [words(rng.randint(1, 40)) for _ in range(rng.randint(0, 3))]
+        parts += rng.sample(notices, rng.randint(0, 2)) + rng.sample(quotes, rng.randint(0, 1))
+        if rng.random() < 0.3:
+            parts.append(rng.choice(stories).replace("a", rng.choice("ax"), rng.randint(0, 2)))
+        if rng.random() < 0.3:
+            parts.append(words(6) + " " + rng.choice(notices) + " " + words(7))
+        rng.shuffle(parts)
+        body = "".join(f"<p>{x}</p>" for x in parts)
+        frame = f"<nav>{words(2)}</nav><div class='ad'>{rng.choice(notices)}</div>"
+        pages.append((rng.choice([f"http://{host}/{k}", f"https://{host}/{k}#x"]), rng.choice([f"{frame}<article>{body}</article>", f"<body>{frame}{body}</body>"])))
+    pages += [pages[3], ("http://a/copy", pages[3][1]), (None, pages[4][1]), ("", "<p>x</p>"), ("http://a/n", None), ("http://lone/1", pages[5][1])]
+    rows = [(i, u, h) for i, (u, h) in enumerate(pages)] + [(0, *pages[0])]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html_extract.extract(d).collect()}
+    want = dict(enumerate(brute_texts(pages)))
+    assert got == want
+    assert any(len(want[i]) < len(html_extract.main_text(html_extract.host_of(u), html_extract.blocks(h or ""), {})) for i, (u, h) in enumerate(pages))
+
+
 def test_clashing_columns_stay(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(300)]
