@@ -8,7 +8,7 @@ containers only, not paragraphs.
 The blocks of a host's pages are token streams. Their suffixes are sorted, each cut to RUN tokens as longer common
 prefixes decide nothing more, and those that agree with a neighbour in RUN tokens are the repeated runs. Suffixes
 without a partner are left out beforehand without loss: every suffix has an anchor, the least hash among the GRAM-token
-strings in its first RUN tokens, equal suffixes have equal anchors, and anchors that one page alone holds fall away.
+strings in its first RUN tokens, equal suffixes have equal anchors, and anchors that one block alone holds fall away.
 Equal pages of a host are one content, and equal blocks of a host one block with the contents that hold it.
 
 A content's base is how many contents hold its rarest text: the level under which CORE of its runs lie. Editions of one
@@ -236,7 +236,7 @@ def contents(read: DataFrame) -> DataFrame:
 
 
 def _anchors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors of a batch of pages, each once for a page."""
+    """The anchors of a batch of pages, each once for a block, so that two blocks of one page share them too."""
     ids, texts, owner, hosts = [], [], [], []
     for key, url, html, skip in zip(*(t.column(c).to_pylist() for c in ("page_key", "url", "html", "skip")), strict=True):
         host = host_of(url)
@@ -247,13 +247,12 @@ def _anchors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             texts += left
             ids.append(key)
     block, _, anchor = anchored(texts, np.array(hosts, np.uint64)) if texts else (np.zeros(0, np.int64), None, np.zeros(0, np.uint64))
-    page = np.array(owner, np.int64)[block]
-    order = np.lexsort((anchor, page))
-    page, anchor = page[order], anchor[order]
-    new = np.ones(len(page), bool)
-    new[1:] = (page[1:] != page[:-1]) | (anchor[1:] != anchor[:-1])
+    order = np.lexsort((anchor, block))
+    block, anchor = block[order], anchor[order]
+    new = np.ones(len(block), bool)
+    new[1:] = (block[1:] != block[:-1]) | (anchor[1:] != anchor[:-1])
     meta = np.zeros(len(ids), ENTRY)
-    meta["id"], meta["n"] = ids, np.bincount(page[new], minlength=len(ids))
+    meta["id"], meta["n"] = ids, np.bincount(np.array(owner, np.int64)[block[new]], minlength=len(ids))
     return meta, anchor[new]
 
 
@@ -328,9 +327,10 @@ def boilerplate(read: DataFrame) -> DataFrame:
     shared = shared_keys(read.select("page_key", "url", "html", "skip"), _anchors, count)
     asked = cut(shared.groupBy(F.col("id").alias("page_key")).agg(F.collect_set("piece").alias("held")))
     step, ddl = _suffixes(count)
-    suffixes = read.join(_few(asked, "held"), "page_key").select("page_key", "url", "html", "skip", "held").mapInArrow(step, ddl)
+    suffixes = stored(read.join(_few(asked, "held"), "page_key").select("page_key", "url", "html", "skip", "held").mapInArrow(step, ddl), "suffixes")
     order = ["host", "suffix", "block", "token"]
     runs = stored(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_common, "run long, block long, token int, size int"), "runs")
+    discard(suffixes)
     # levels: how many contents hold each run, and each block's and content's rarest text
     pages = several.select("block", "pages")
     pairs = runs.groupBy("run", "block").agg(F.size(F.collect_set("token")).alias("n"), F.max("size").alias("size")).join(pages, "block", "left").withColumn("pages", F.coalesce("pages", F.lit(1)))
