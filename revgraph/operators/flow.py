@@ -16,15 +16,13 @@ def neighbours(edges: DataFrame, low, high, direction: str = "out", types=("dire
     return hit.select(F.col(one).alias("id"), F.col(two).alias("other")).distinct()
 
 
-def reachable(edges: DataFrame, starts: DataFrame, low, high, direction: str = "out", types=("directFlow",), max_rounds: int = 100) -> DataFrame:
-    """start, id of every node that flow reaches; a visited set keeps circles finite. starts: id."""
+def reachable(edges: DataFrame, starts: DataFrame, low, high, direction: str = "out", types=("directFlow",)) -> DataFrame:
+    """start, id of every node that flow reaches, however far; a visited set keeps circles finite. starts: id."""
     step = materialize(neighbours(edges, low, high, direction, types))
     seen = frontier = materialize(starts.select(F.col("id").alias("start"), "id").distinct())
-    for _ in range(max_rounds):
+    while frontier.head(1):
         frontier = materialize(frontier.join(step, "id").select("start", F.col("other").alias("id")).distinct().join(seen, ["start", "id"], "left_anti"))
-        if not frontier.head(1):
-            break
-        seen = materialize(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # frontiers are written once each
     return seen.where("start <> id")
 
 

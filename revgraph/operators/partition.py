@@ -1,17 +1,49 @@
-"""Partition diagnostics: range buckets of attributes and endpoint-disjoint edge buckets. Results never depend on them."""
+"""Partition diagnostics: range buckets of attributes and disjoint edge buckets. Results never depend on them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revgraph.sources.store import materialize
+
+#: Stop splitting the rest anew below so many edges, or when a round places less than one in so many.
+LEAST_REST, LEAST_SHARE = 1000, 100
+
 
 def range_buckets(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Rows with a bucket number such that buckets are contiguous in key, about equal, and never split a key."""
     return rows.repartitionByRange(n, key).withColumn("bucket", F.spark_partition_id())
 
 
-def edge_buckets(edges: DataFrame, n: int, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Edges with a bucket: both ends hash to the same one of n groups, or bucket n for those that conflict."""
-    a, b = (F.pmod(F.xxhash64(c), F.lit(n)) for c in (src, dst))
-    return edges.withColumn("bucket", F.when(a == b, a).otherwise(F.lit(n)).cast("int"))
+def edge_buckets(edges: DataFrame, n: int, src: str = "src", dst: str = "dst", rounds: int = 8) -> DataFrame:
+    """Edges with a bucket: no node is in two of the buckets 0 to n - 1 of a round; bucket -1 holds what is left.
+
+    In each round every node follows its most common partner's choice: nodes first hash to n groups, then move to the
+    group that most of their edges lead to; edges within a group are placed, the others are the rest, which is split
+    anew with fresh groups until it is small or hardly shrinks. Buckets of later rounds go on counting.
+    """
+    left = edges.withColumns({"edge_no": F.monotonically_increasing_id()})
+    left = materialize(left)
+    size = left.count()
+    parts = []
+    for k in range(rounds):
+        if not size:
+            break
+        ends = left.select(F.col(src).alias("node"), F.col(dst).alias("other")).unionByName(left.select(F.col(dst).alias("node"), F.col(src).alias("other")))
+        group = lambda c: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(n)).cast("int")
+        votes = ends.groupBy("node", group("other").alias("to")).agg(F.count("*").alias("n"))
+        own = votes.groupBy("node").agg(F.max(F.struct("n", "to"))["to"].alias("wish"))
+        # nodes of one half move to their partners of the other half, which stay where they are
+        place = own.select("node", F.when(F.pmod(F.xxhash64("node", F.lit(-1 - k)), F.lit(2)) == 0, F.col("wish")).otherwise(group("node")).alias("bucket"))
+        a, b = place.select(F.col("node").alias(src), F.col("bucket").alias("a")), place.select(F.col("node").alias(dst), F.col("bucket").alias("b"))
+        placed = materialize(left.join(a, src).join(b, dst))
+        parts.append(placed.where("a = b").withColumn("bucket", F.col("a") + k * n).select(*edges.columns, "bucket"))
+        left = placed.where("a <> b").drop("a", "b")
+        before, size = size, left.count()
+        if size < LEAST_REST or before - size < before / LEAST_SHARE:
+            break
+    out = left.withColumn("bucket", F.lit(-1)).select(*edges.columns, "bucket")
+    for x in parts:
+        out = out.unionByName(x)
+    return out

@@ -12,23 +12,51 @@ from pyspark.sql import functions as F
 from revgraph.model import DISABLED_ELEMENTS
 from revgraph.sources.store import materialize
 
-MAX_ROUNDS = 10
+#: Rounds after which circles are looked for: paths of 2 ** CIRCLE_ROUND nodes and more.
+CIRCLE_ROUND = 3
 
 
-def resolve_paths(nodes: DataFrame, keep: list[str] | None = None, rounds: int = MAX_ROUNDS) -> DataFrame:
+def _without_circles(rows: DataFrame, ahead: DataFrame) -> DataFrame:
+    """The rows whose pointers lead out of them, that is to finished ones; ahead: id, up of all of the rows.
+
+    Pointers alone are doubled, until none leads on or more steps are made than there are rows.
+    """
+    n, steps, left = ahead.count(), 1, ahead
+    inside = ahead.select(F.col("id").alias("up"))
+    left = materialize(left.join(inside, "up", "left_semi"))  # those that stay inside for one step
+    while steps <= n and left.head(1):
+        step = left.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        left = materialize(left.join(step, "up").select("id", F.col("next").alias("up")))
+        steps *= 2
+    return rows.join(left.select("id"), "id", "left_anti") if left.head(1) else rows
+
+
+def resolve_paths(nodes: DataFrame, keep: list[str] | None = None, rounds: int | None = None) -> DataFrame:
     """id and path (from the root down, structs of the columns in `keep`) for nodes with id and parent ('' or null: root).
 
-    Nodes whose chain of parents leaves the table or runs in a circle have no row.
+    Nodes whose chain of parents leaves the table or runs in a circle have no row. Hierarchies of any depth are resolved
+    unless `rounds` limits the doublings; rows that are finished are set aside and only looked up.
     """
     keep = keep or ["id", "name", "type"]
     at = nodes.select("id", F.when(F.coalesce("parent", F.lit("")) != "", F.col("parent")).alias("up"), F.array(F.struct(*keep)).alias("path"))
-    for _ in range(rounds):
-        above = at.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("upper"))
-        done = at.where("up is null")
-        at = materialize(done.unionByName(at.where("up is not null").join(above, "up").select("id", F.col("next").alias("up"), F.concat("upper", "path").alias("path"))))
-        if not at.where("up is not null").head(1):
-            break
-    return at.where("up is null").select("id", "path")
+    done = [materialize(at.where("up is null"))]
+    at = materialize(at.where("up is not null"))
+    k = 0
+    while at.head(1) and (rounds is None or k < rounds):
+        above = at
+        for x in done:
+            above = above.unionByName(x)
+        above = above.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("upper"))
+        moved = materialize(at.join(above, "up").select("id", F.col("next").alias("up"), F.concat("upper", "path").alias("path")))
+        done.append(moved.where("up is null"))
+        at = moved.where("up is not null")
+        k += 1
+        if k == CIRCLE_ROUND:
+            at = materialize(_without_circles(at, at.select("id", "up")))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.select("id", "path")
 
 
 def path_string(path) -> F.Column:
@@ -45,6 +73,21 @@ def ancestors(paths: DataFrame, nodes: DataFrame, skip_disabled: bool = True) ->
     return pairs
 
 
+def start_nodes(children: DataFrame, tops: DataFrame) -> DataFrame:
+    """top, id: the nodes without children that descent from each top reaches, over parent and perspective edges alike.
+
+    children: id, child (from hasParent and perspective edges); tops: id. A set of visited nodes keeps circles finite; a
+    top without children is its own start node.
+    """
+    step = materialize(children.select("id", "child").distinct())
+    frontier = materialize(tops.select(F.col("id").alias("top"), "id").distinct())
+    seen = frontier
+    while frontier.head(1):
+        frontier = materialize(frontier.join(step, "id").select("top", F.col("child").alias("id")).distinct().join(seen, ["top", "id"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen.join(step.select("id").distinct(), "id", "left_anti").select("top", "id")
+
+
 def leaves(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """ancestor_id, leaf_id: the nodes without children below each node; a node without children is its own leaf."""
     inner = nodes.where("coalesce(parent, '') <> ''").select(F.col("parent").alias("id")).distinct()

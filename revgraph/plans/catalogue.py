@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from revgraph.functions import scalars as fn
 from revgraph.model import ENDPOINTS, REVISION
-from revgraph.operators import consolidate, flow, intervals, partition, report, subtree
+from revgraph.operators import consolidate, flow, intervals, partition, subtree
 from revgraph.operators import paths as hierarchy
 from revgraph.plans import revisions as catalogue
 from revgraph.plans.lineage import expanded, view
@@ -51,8 +51,14 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT kind, count(*) AS n FROM ({_RECORDS}) GROUP BY kind")
 def scan_route_counts(spark, d):
-    """Records by kind."""
-    return _records(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+    """Records by kind, as routing deals them: typed tables, wrong arities and unknown kinds."""
+    from revgraph.sources.batch import route
+
+    parts = [x.select(F.lit(k).alias("kind") if k not in ("errors", "unknown") else "kind") for k, x in route(_records(spark, d)).items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT kind, count(*) AS n FROM ({_RECORDS}) WHERE kind = 'node' AND arity NOT IN (6, 7) OR kind = 'node_attribute' AND arity <> 4 GROUP BY kind")
@@ -140,7 +146,7 @@ def leaf_nodes(spark, d):
 def qualified_name_lookup(spark, d):
     """Nodes by qualified name, without case; ambiguous names have no row."""
     r = view(spark, d, "lg_resource").select(F.col("id").alias("rid"), F.col("name").alias("resource"))
-    p = _paths(spark, d, ["id", "name", "type", "resource_id"]).withColumn("rid", F.col("path")[0]["resource_id"]).join(F.broadcast(r), "rid")  # regions and the catalogue: a fixed few
+    p = _paths(spark, d, ["id", "name", "type", "resource_id"]).withColumn("rid", F.col("path")[0]["resource_id"]).join(r, "rid")
     at = p.select("id", F.transform("path", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"))).alias("path"), "resource")
     tip = F.element_at("path", -1)["type"]
     wanted = at.where(tip.isin("Part", "Customer")).select(F.lower(F.concat("resource", F.lit("/"), hierarchy.path_string(F.col("path")))).alias("request"), F.transform("path", lambda x: F.struct(F.upper(x["name"]).alias("name"), F.lower(x["type"]).alias("type"))).alias("names"), "resource").distinct()
@@ -178,18 +184,18 @@ def flow_neighbours_asof(spark, d):
     return flow.neighbours(_edges(spark, d), Decimal(3), Decimal(3))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_STORED}) WHERE type = 'directFlow'), r AS (SELECT concat('s', CAST(s_suppkey AS STRING)) AS start, concat('s', CAST(s_suppkey AS STRING)) AS id FROM {{supplier}} WHERE s_acctbal > 9000 UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.id)
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_STORED}) WHERE type = 'directFlow'), r AS (SELECT concat('s', CAST(s_suppkey AS STRING)) AS start, concat('s', CAST(s_suppkey AS STRING)) AS id FROM {{supplier}} UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.id)
     SELECT start, count(*) AS reached FROM r WHERE start <> id GROUP BY start""")
 def flow_reachable(spark, d):
-    """What direct flow reaches from the suppliers with the largest balances."""
-    starts = view(spark, d, "SELECT concat('s', CAST(s_suppkey AS STRING)) AS id FROM {supplier} WHERE s_acctbal > 9000")
+    """What direct flow reaches from every supplier."""
+    starts = view(spark, d, "SELECT concat('s', CAST(s_suppkey AS STRING)) AS id FROM {supplier}")
     return flow.reachable(_edges(spark, d), starts, Decimal(0), Decimal(9)).groupBy("start").agg(F.count("*").alias("reached"))
 
 
-@query(f"SELECT src AS vertex_id, bool_and(rev <= 2 AND rev + 1.999999 >= 2) AS valid FROM ({_STORED}) WHERE src LIKE 'p%' GROUP BY src UNION ALL SELECT 'lonely', true UNION ALL SELECT 'root', true")
+@query(f"SELECT src AS vertex_id, bool_and(rev <= 2 AND rev + 1.999999 >= 2) AS valid FROM ({_STORED}) GROUP BY src UNION ALL SELECT 'lonely', true UNION ALL SELECT 'root', true")
 def vertex_in_interval(spark, d):
     """vertices all of whose control edges overlap revision 2; roots and vertices without any are valid."""
-    e = _edges(spark, d).where("src like 'p%'").withColumn("type", F.lit("hasResource"))
+    e = _edges(spark, d).withColumn("type", F.lit("hasResource"))
     extra = spark.createDataFrame([("lonely", "Node"), ("root", "SuperRoot")], "vertex_id string, kind string")
     v = e.select(F.col("src").alias("vertex_id"), F.lit("Node").alias("kind")).distinct().unionByName(extra)
     return intervals.vertex_in_interval(v, e, Decimal(2), Decimal(2))
@@ -237,76 +243,7 @@ def subtree_delete(spark, d):
     return subtree.delete(v, e, _closing(spark, d))[1].groupBy("type").agg(F.count("*").alias("n"))
 
 
-# --- upserts: orders up to 1999 are the state, those from 1998 on the batch ----------------------------------------------
-
-_STATE, _BATCH = "year(o_orderdate) <= 1999", "year(o_orderdate) >= 1998"
-
-
-def _upsert_sql(columns: str, table: str, keys: str) -> str:
-    return f"SELECT {columns}, CASE WHEN EXISTS (SELECT 1 FROM ({table} AND {_STATE}) s WHERE {keys}) THEN 'ALREADY_EXIST' ELSE 'NEW_OBJECT' END AS result FROM (SELECT DISTINCT * FROM ({table} AND {_BATCH})) b"
-
-
-def _upsert(state: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Each batch row once, and whether the state holds its key."""
-    old = state.select(*keys).distinct().withColumn("old", F.lit(True))
-    return batch.distinct().join(old, keys, "left").withColumn("result", F.when(F.col("old"), "ALREADY_EXIST").otherwise("NEW_OBJECT")).drop("old")
-
-
-_ORDER_NODES = "SELECT c_name AS parent, concat('Order#', CAST(o_orderkey AS STRING)) AS name, 'Order' AS type FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE true"
-_CUSTOMER_NODES = "SELECT concat('n', CAST(c_nationkey AS STRING)) AS parent, c_name AS name, 'Customer' AS type FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE true"
-_FLOWS = "SELECT l_partkey AS src, o_orderkey AS dst, CASE WHEN l_returnflag = 'R' THEN 'FILTER' ELSE 'DIRECT' END AS type FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE true"
-_ATTRS = "SELECT o_custkey AS owner, 'PRIORITY' AS key, o_orderpriority AS value FROM {orders} WHERE true"
-
-
-def _both(spark, d, sql):
-    return view(spark, d, f"{sql} AND {_STATE}"), view(spark, d, f"{sql} AND {_BATCH}")
-
-
-@query(_upsert_sql("parent, name, type", _CUSTOMER_NODES, "s.parent = b.parent AND s.name = b.name AND s.type = b.type"))
-def node_upsert(spark, d):
-    """Customers that order again exist, others are new."""
-    return _upsert(*_both(spark, d, _CUSTOMER_NODES), ["parent", "name", "type"])
-
-
-@query(_upsert_sql("src, dst, type", _FLOWS, "s.src = b.src AND s.dst = b.dst AND s.type = b.type"))
-def edge_upsert(spark, d):
-    """Flows."""
-    return _upsert(*_both(spark, d, _FLOWS), ["src", "dst", "type"])
-
-
-@query(_upsert_sql("owner, key, value", _ATTRS, "s.owner = b.owner AND s.key = b.key AND s.value = b.value"))
-def node_attribute_upsert(spark, d):
-    """Attributes."""
-    return _upsert(*_both(spark, d, _ATTRS), ["owner", "key", "value"])
-
-
-_RES = "SELECT r_name AS name, 'Region' AS type FROM {region} WHERE r_regionkey"
-
-
-@query("SELECT r_name AS name, 'Region' AS type, CASE WHEN r_regionkey <= 2 THEN 'ALREADY_EXIST' ELSE 'NEW_OBJECT' END AS result FROM {region} WHERE r_regionkey >= 1")
-def resource_upsert(spark, d):
-    """Regions."""
-    return _upsert(view(spark, d, _RES + " <= 2"), view(spark, d, _RES + " >= 1"), ["name", "type"])
-
-
-_SRC = "SELECT lang AS local_name, md5(text) AS hash, lang AS technology FROM {documents} WHERE doc_id % 3"
-
-
-@query("SELECT b.*, CASE WHEN EXISTS (SELECT 1 FROM (" + _SRC + " <> 2) s WHERE s.local_name = b.local_name AND s.hash = b.hash AND s.technology = b.technology) THEN 'ALREADY_EXIST' ELSE 'NEW_OBJECT' END AS result FROM (SELECT DISTINCT * FROM (" + _SRC + " <> 0)) b")
-def source_code_upsert(spark, d):
-    """Two overlapping submissions (every third document is only in the other one)."""
-    return _upsert(view(spark, d, _SRC + " <> 2"), view(spark, d, _SRC + " <> 0"), ["local_name", "hash", "technology"])
-
-
-@query("""WITH s AS (SELECT l_partkey AS src, l_orderkey AS dst, max(l_linenumber * 10000 + year(l_shipdate)) % 10000 AS value FROM {lineitem} WHERE l_linenumber <= 3 GROUP BY l_partkey, l_orderkey),
-    b AS (SELECT l_partkey AS src, l_orderkey AS dst, max(l_linenumber * 10000 + year(l_shipdate)) % 10000 AS value FROM {lineitem} WHERE l_linenumber >= 3 GROUP BY l_partkey, l_orderkey)
-    SELECT CASE WHEN s.value IS NULL THEN 'SET' WHEN s.value = b.value THEN 'SAME' ELSE 'COPY' END AS action, count(*) AS n FROM b LEFT JOIN s ON s.src = b.src AND s.dst = b.dst GROUP BY 1""")
-def edge_attribute_upsert(spark, d):
-    """Set, same or copy-on-write, by the last value of each edge."""
-    rows = view(spark, d, "SELECT l_partkey AS src, l_orderkey AS dst, l_linenumber AS line, year(l_shipdate) AS value FROM {lineitem}")
-    last = lambda x: x.groupBy("src", "dst").agg(F.max(F.struct("line", "value"))["value"].alias("value"))
-    b, s = last(rows.where("line >= 3")), last(rows.where("line <= 3")).withColumnRenamed("value", "old")
-    return b.join(s, ["src", "dst"], "left").groupBy(F.when(F.col("old").isNull(), "SET").when(F.col("old") == F.col("value"), "SAME").otherwise("COPY").alias("action")).agg(F.count("*").alias("n"))
+# --- perspectives ----------------------------------------------------------------------------------------------------
 
 
 def _first_perspectives(perspectives: DataFrame) -> DataFrame:
@@ -315,27 +252,12 @@ def _first_perspectives(perspectives: DataFrame) -> DataFrame:
     return rows.join(first, "src").select("src", "dst", F.when(F.struct("line", "dst") == F.col("first"), "NEW_OBJECT").otherwise("ERROR").alias("result"))
 
 
-@query("SELECT src, dst, CASE WHEN line = min(line) OVER (PARTITION BY src) AND row_number() OVER (PARTITION BY src, line ORDER BY dst) = 1 THEN 'NEW_OBJECT' ELSE 'ERROR' END AS result FROM (SELECT DISTINCT * FROM {lg_perspective})")
-def perspective_edges(spark, d):
-    """The first perspective of a source and layer wins, later ones are errors."""
-    return _first_perspectives(view(spark, d, "lg_perspective"))
-
-
 @query("SELECT src, dst, CASE WHEN line = min(line) OVER (PARTITION BY src) AND row_number() OVER (PARTITION BY src, line ORDER BY dst) = 1 THEN 'NEW_OBJECT' ELSE 'ERROR' END AS result FROM (SELECT DISTINCT * FROM {lg_perspective_all})")
 def perspective_edges_all(spark, d):
     """The same over the whole key range of part."""
     return _first_perspectives(view(spark, d, "lg_perspective_all"))
 
 
-@query("""WITH r AS (SELECT 'node' AS item_type, result FROM (""" + _upsert_sql("parent", _CUSTOMER_NODES, "s.parent = b.parent AND s.name = b.name") + """) UNION ALL SELECT 'edge', result FROM (""" + _upsert_sql("src", _FLOWS, "s.src = b.src AND s.dst = b.dst AND s.type = b.type") + """))
-    SELECT k.item_type, count(*) FILTER (WHERE result = 'NEW_OBJECT') AS new, count(*) FILTER (WHERE result = 'ALREADY_EXIST') AS existed, count(*) FILTER (WHERE result = 'ERROR') AS error
-    FROM (VALUES ('source_code'), ('layer'), ('resource'), ('node'), ('node_attribute'), ('edge'), ('edge_attribute')) k(item_type) LEFT JOIN r ON r.item_type = k.item_type GROUP BY k.item_type""")
-def merge_report(spark, d):
-    """Counters by kind, zeros kept."""
-    rows = node_upsert(spark, d).select(F.lit("node").alias("item_type"), "result").unionByName(edge_upsert(spark, d).select(F.lit("edge").alias("item_type"), "result"))
-    return report.counters(rows)
-
-
 # --- revisions and scalars -------------------------------------------------------------------------------------------
 
 
@@ -353,16 +275,19 @@ def revision_catalogue(spark, d):
     return r.select(F.col("number").cast("double"), F.col("previous").cast("double"), F.col("next").cast("double"), "committed", fn.revision_label(F.col("number")).alias("label"))
 
 
-@query("""SELECT o_orderkey, upper(regexp_replace('custKeyOfOrder', '([A-Z])', '_\\1', 'g')) AS snake, CASE WHEN o_orderkey * 37 < 1000 THEN concat(CAST(o_orderkey * 37 AS VARCHAR), ' B') WHEN o_orderkey * 37 < 999950 THEN concat(CAST(CAST(round(o_orderkey * 37 / 1000.0, 1) AS DECIMAL(18,1)) AS VARCHAR), ' kB') END AS bytes,
-    concat(CAST((o_orderkey * 61 // 60) % 60 AS VARCHAR), 'm ', CAST(o_orderkey * 61 % 60 AS VARCHAR), 's 500.000000ms') AS took, substr(concat('Order#', CAST(o_orderkey AS VARCHAR)), 1, 200) AS child FROM {orders} WHERE o_orderkey * 61 < 3600 AND o_orderkey * 37 % 100 <> 50""")
-def scalars_format(spark, d):
-    """Formats (ties of rounding left out)."""
-    o = view(spark, d, "SELECT o_orderkey FROM {orders} WHERE o_orderkey * 61 < 3600 AND o_orderkey * 37 % 100 <> 50")
-    k = F.col("o_orderkey")
-    return o.select("o_orderkey", fn.camel_to_snake(F.lit("custKeyOfOrder")).alias("snake"), fn.si_bytes(k * 37).alias("bytes"), fn.duration(k * 61 * 10**9 + 500 * 10**6).alias("took"), fn.child_name(F.concat(F.lit("Order#"), k.cast("string"))).alias("child"))
+def _bytes_sql(n: str) -> str:
+    """Tenths are rounded half up in whole numbers, as the thousands are cut off before."""
+    tenths = lambda d: f"(({n} // {d} + 50) // 100)"
+    shown = lambda p, d: f"concat(CAST({tenths(d)} // 10 AS VARCHAR), '.', CAST({tenths(d)} % 10 AS VARCHAR), ' {p}B')"
+    cases = " ".join(f"WHEN {n} // {10 ** (3 * i)} < 999950 THEN {shown(p, 10 ** (3 * i))}" for i, p in enumerate("kMGTP"))
+    return f"CASE WHEN {n} < 1000 THEN concat(CAST({n} AS VARCHAR), ' B') {cases} ELSE {shown('E', 10**15)} END"
 
 
-@query()
+@query(f"""SELECT o_orderkey, upper(regexp_replace('custKeyOfOrder', '([A-Z])', '_\\1', 'g')) AS snake, {_bytes_sql('n')} AS bytes,
+    CASE WHEN s // 86400 % 24 > 0 THEN concat(CAST(s // 86400 % 24 AS VARCHAR), 'd ', CAST(s // 3600 % 24 AS VARCHAR), 'h ', CAST(s // 60 % 60 AS VARCHAR), 'm')
+      WHEN s // 3600 % 24 > 0 THEN concat(CAST(s // 3600 % 24 AS VARCHAR), 'h ', CAST(s // 60 % 60 AS VARCHAR), 'm ', CAST(s % 60 AS VARCHAR), 's')
+      ELSE concat(CAST(s // 60 % 60 AS VARCHAR), 'm ', CAST(s % 60 AS VARCHAR), 's 500.000000ms') END AS took, substr(concat('Order#', CAST(o_orderkey AS VARCHAR)), 1, 200) AS child
+    FROM (SELECT o_orderkey, o_orderkey * 61 % 2592000 AS s, CAST(power(10, o_orderkey % 7 * 3) AS BIGINT) * (o_orderkey % 9) + o_orderkey * 37 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 50 - o_orderkey * 37 % 100 END AS n FROM {{orders}})""")
 def scalars_format_all(spark, d):
     """Formats of every order over all branches: bytes up to EB, ties of rounding, minutes to days."""
     o = view(spark, d, "SELECT o_orderkey FROM {orders}")
@@ -372,51 +297,42 @@ def scalars_format_all(spark, d):
     return o.select("o_orderkey", fn.camel_to_snake(F.lit("custKeyOfOrder")).alias("snake"), fn.si_bytes(sized).alias("bytes"), fn.duration(nanos).alias("took"), fn.child_name(F.concat(F.lit("Order#"), k.cast("string"))).alias("child"))
 
 
-# --- rows-only queries -----------------------------------------------------------------------------------------------
+# --- buckets, files and streams -----------------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT count(*) AS n, 0 AS split_owners, true AS few_buckets, true AS in_order FROM {lg_attribute}")
 def attribute_range_buckets(spark, d):
     """Attributes in contiguous buckets that never split an owner."""
-    return partition.range_buckets(view(spark, d, "lg_attribute"), "owner", 8).groupBy("bucket").agg(F.count("*").alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"))
+    made = partition.range_buckets(view(spark, d, "lg_attribute"), "owner", 8)
+    owners = made.groupBy("owner").agg(F.count_distinct("bucket").alias("k")).agg(F.count(F.when(F.col("k") > 1, 1)).alias("split_owners"))
+    buckets = made.groupBy("bucket").agg(F.count("*").alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"))  # 8 at most
+    after = buckets.select((F.col("bucket") - 1).alias("bucket"), F.col("low").alias("next"))
+    ordered = buckets.join(after, "bucket", "left").agg(F.sum("n").alias("n"), (F.count("*") <= 8).alias("few_buckets"), F.bool_and(F.coalesce(F.col("high") < F.col("next"), F.lit(True))).alias("in_order"))
+    return ordered.crossJoin(owners).select("n", "split_owners", "few_buckets", "in_order")  # one row and one row
 
 
-@query()
+@query("SELECT count(*) AS edges, 0 AS shared_nodes, true AS some_placed FROM {lg_edge}")
 def edge_buckets(spark, d):
-    """Endpoint-disjoint edge buckets and the conflicting rest."""
-    return partition.edge_buckets(_edges(spark, d), 4).groupBy("bucket").agg(F.count("*").alias("n"))
+    """Buckets of edges such that no node is in two of one round, the rest split anew."""
+    from revgraph.sources.store import materialize
+
+    made = materialize(partition.edge_buckets(_edges(spark, d).select("src", "dst"), 4))
+    placed = made.where("bucket >= 0").withColumn("round", F.floor(F.col("bucket") / 4))
+    shared = placed.select("round", "bucket", F.explode(F.array("src", "dst")).alias("node")).groupBy("round", "node").agg(F.count_distinct("bucket").alias("k")).agg(F.count(F.when(F.col("k") > 1, 1)).alias("shared_nodes"))
+    return made.agg(F.count("*").alias("edges"), (F.count(F.when(F.col("bucket") >= 0, 1)) > 0).alias("some_placed")).crossJoin(shared).select("edges", "shared_nodes", "some_placed")  # one row and one row
 
 
-def _written(spark: SparkSession, d: str, name: str, kept: str = "kind in ('layer', 'resource', 'source_code')") -> str:
+def _written(spark: SparkSession, d: str, name: str) -> str:
     import uuid
 
     from revgraph.sources.batch import write_records
 
     base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
     path = f"{base}/{name}-{uuid.uuid4().hex}"
-    write_records(_records(spark, d).where(kept).withColumn("line", F.element_at("fields", 2)), path + "/in")
+    write_records(_records(spark, d).withColumn("line", F.element_at("fields", 2)), path + "/in")
     return path
 
 
-@query("SELECT kind, count(*) AS n FROM (" + _RECORDS + ") WHERE kind IN ('layer', 'resource', 'source_code') GROUP BY kind")
-def csv_roundtrip(spark, d):
-    """Records written as CSV and scanned again."""
-    from revgraph.sources.batch import scan
-
-    return scan(spark, _written(spark, d, "csv") + "/in").groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("SELECT kind, count(*) AS n FROM (" + _RECORDS + ") WHERE kind IN ('layer', 'resource', 'source_code') GROUP BY kind")
-def stream_group_commit(spark, d):
-    """The same through an available-now stream."""
-    import uuid
-
-    from revgraph.streaming.group_commit import counts_by_kind
-
-    path = _written(spark, d, "stream")
-    return counts_by_kind(spark, path + "/in", path + "/checkpoint", "g" + uuid.uuid4().hex).withColumnRenamed("count", "n")
-
-
 _RESULTS = f"""SELECT kind, CASE WHEN kind = 'strange' THEN 'unknown' WHEN kind = 'node' AND arity NOT IN (6, 7) OR kind = 'node_attribute' AND arity <> 4 THEN 'error' ELSE 'ok' END AS result, count(*) AS n
     FROM ({_RECORDS}) GROUP BY 1, 2"""
 
@@ -426,7 +342,7 @@ def csv_roundtrip_all(spark, d):
     """All records written as CSV and scanned again, wrong arities as errors."""
     from revgraph.sources.batch import result_of_record, scan
 
-    return scan(spark, _written(spark, d, "csv", "true") + "/in").groupBy("kind", result_of_record().alias("result")).agg(F.count("*").alias("n"))
+    return scan(spark, _written(spark, d, "csv") + "/in").groupBy("kind", result_of_record().alias("result")).agg(F.count("*").alias("n"))
 
 
 @query(_RESULTS)
@@ -436,5 +352,5 @@ def stream_group_commit_all(spark, d):
 
     from revgraph.streaming.group_commit import counts_by_result
 
-    path = _written(spark, d, "stream", "true")
+    path = _written(spark, d, "stream")
     return counts_by_result(spark, path + "/in", path + "/checkpoint", "g" + uuid.uuid4().hex)

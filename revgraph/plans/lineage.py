@@ -34,7 +34,6 @@ VIEWS = {
         UNION ALL SELECT concat('o', CAST(o_orderkey AS STRING)), 'STATUS', o_orderstatus FROM {orders}
         UNION ALL SELECT concat('c', CAST(user_id AS STRING)), 'EVENT', event_type FROM {events}""",
     "lg_source": "SELECT CAST(doc_id AS STRING) AS id, lang AS local_name, md5(text) AS hash, lang AS technology, '' AS connection FROM {documents}",
-    "lg_perspective": "SELECT concat('c', CAST(c_custkey AS STRING)) AS src, concat('b', p_brand) AS dst, c_custkey * 10 + p_partkey % 7 AS line FROM {customer} JOIN {part} ON p_partkey % 500 = c_custkey % 500 WHERE p_partkey < 1000",
     # three parts for each customer and a customer for each part, whatever the sizes of the tables
     "lg_perspective_all": """
         SELECT concat('c', CAST(c_custkey AS STRING)) AS src, concat('b', p_brand) AS dst, c_custkey * 10 + p_partkey % 7 AS line
@@ -49,8 +48,9 @@ VIEWS = {
 
 def expanded(sql: str) -> str:
     """SQL with view names in braces replaced by their definitions, for DuckDB; tables lose their braces."""
-    while found := re.search(r"\{(lg_\w+)\}", sql):
-        sql = sql.replace(found[0], f"({VIEWS[found[1]]})")
+    while names := [n for n in re.findall(r"\{(\w+)\}", sql) if n in VIEWS]:
+        for n in names:
+            sql = sql.replace("{" + n + "}", f"({VIEWS[n]})")
     return re.sub(r"\{(\w+)\}", r"\1", sql).replace("AS STRING)", "AS VARCHAR)")
 
 

@@ -1,7 +1,8 @@
-"""Snapshots: immutable Parquet directories and a pointer to the current one."""
+"""Snapshots: immutable Parquet directories and numbered pointers to the current ones."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +36,13 @@ def ensure_roots(snapshot: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return snapshot | {"vertices": snapshot["vertices"].unionByName(roots.join(snapshot["vertices"], "vertex_id", "left_anti"))}
 
 
+class StoreConflict(RuntimeError):
+    pass
+
+
 class Store:
-    """A repository directory. Readers follow the pointer; a failed write leaves it where it was."""
+    """A repository directory. Readers follow the newest numbered pointer, which names the directory of each table; a
+    failed write leaves it where it was. Of two writers that start from one pointer the second is refused."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -47,26 +53,55 @@ class Store:
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
     def current(self) -> str | None:
+        """The name of the newest pointer."""
         fs, path = self._fs()
         if not fs.exists(path(f"{self.path}/current")):
             return None
-        newest = max(x.getPath().getName() for x in fs.listStatus(path(f"{self.path}/current")) if not x.getPath().getName().startswith((".", "_")))
-        return newest.partition("-")[2]
+        names = [x.getPath().getName() for x in fs.listStatus(path(f"{self.path}/current"))]
+        return max((n for n in names if not n.startswith((".", "_"))), default=None)
 
-    def read(self) -> dict[str, DataFrame]:
+    def tables(self) -> dict[str, str]:
+        """The directory of each table."""
         at = self.current()
-        return empty(self.spark) if at is None else {k: self.spark.read.schema(v).parquet(f"{self.path}/{at}/{k}") for k, v in TABLES.items()}
+        if at is None:
+            return {}
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.path}/current/{at}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def read(self) -> dict[str, DataFrame]:
+        at = self.tables()
+        return {k: self.spark.read.schema(v).parquet(f"{self.path}/{at[k]}") for k, v in TABLES.items()} if at else empty(self.spark)
+
+    def write(self, changed: dict[str, DataFrame], since: str | None = "") -> str:
+        """Write the changed tables, edges partitioned by type, then move the pointer; other tables stay where they are.
 
-    def write(self, snapshot: dict[str, DataFrame]) -> str:
-        """Write a new snapshot, edges partitioned by type, then move the pointer to it."""
+        since: the pointer that the change was made from; the current one by default.
+        """
         name = uuid.uuid4().hex
+        since = self.current() if since == "" else since
+        at = self.tables()
         for k in TABLES:
-            w = snapshot[k].select(*[f.split(" ")[0] for f in _names(k)]).write
-            (w.partitionBy("type") if k == "edges" else w).parquet(f"{self.path}/{name}/{k}")
+            if k in changed or k not in at:
+                table = changed[k] if k in changed else empty(self.spark)[k]
+                w = table.select(*_names(k)).write
+                (w.partitionBy("type") if k == "edges" else w).parquet(f"{self.path}/{name}/{k}")
+                at[k] = f"{name}/{k}"
         fs, path = self._fs()
-        n = len(fs.listStatus(path(f"{self.path}/current"))) if fs.exists(path(f"{self.path}/current")) else 0
+        n = 0 if since is None else int(since) + 1
         fs.mkdirs(path(f"{self.path}/current"))
-        fs.createNewFile(path(f"{self.path}/current/{n:08d}-{name}"))
+        target = path(f"{self.path}/current/{n:08d}")
+        if fs.exists(target):
+            raise StoreConflict(f"another writer has moved the pointer beyond {since}")
+        try:
+            out = fs.create(target, False)  # fails where the pointer exists
+        except Exception as e:
+            raise StoreConflict(f"another writer has moved the pointer beyond {since}") from e
+        out.write(json.dumps(at).encode())
+        out.close()
         return name
 
     def wipe(self) -> None:

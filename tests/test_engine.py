@@ -237,3 +237,90 @@ def test_perspectives_reach_every_part(spark, tmp_path):
 def test_all_kinds_pass_the_csv(spark, name):
     got = {(r.kind, r.result) for r in catalogue_queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
     assert got == {(k, "ok") for k in ("layer", "resource", "node", "edge", "node_attribute", "source_code")} | {("node", "error"), ("node_attribute", "error"), ("strange", "unknown")}
+
+
+def test_deep_hierarchies_and_circles(spark):
+    n = 1500
+    rows = [(f"d{i}", f"d{i - 1}" if i else "", str(i), "T") for i in range(n)] + [(f"x{i}", f"x{(i + 1) % 70}", "x", "T") for i in range(70)] + [("t", "x3", "t", "T"), ("u", "t", "u", "T")]
+    p = hierarchy.resolve_paths(spark.createDataFrame(rows, "id string, parent string, name string, type string"), ["name"])
+    got = {r.id: (r.n, r.last) for r in p.select("id", F.size("path").alias("n"), F.element_at("path", -1)["name"].alias("last")).collect()}
+    assert got == {f"d{i}": (i + 1, str(i)) for i in range(n)}
+
+
+def test_flow_beyond_a_hundred_hops(spark):
+    from revgraph.operators import flow
+
+    e = spark.createDataFrame([(f"e{i}", "directFlow", f"n{i}", f"n{i + 1}", 1.0, 2.0) for i in range(120)], "edge_id string, type string, src string, dst string, tran_start double, tran_end double")
+    assert flow.reachable(e, spark.createDataFrame([("n0",)], "id string"), 1, 1).count() == 120
+
+
+def test_edge_buckets_share_no_node(spark):
+    from revgraph.operators.partition import edge_buckets
+
+    e = spark.createDataFrame([(f"a{i % 300}", f"b{i % 300 if i % 7 else i % 11}") for i in range(3000)], "src string, dst string").distinct()
+    made = edge_buckets(e, 4).collect()
+    assert len(made) == e.count()
+    held = {}
+    for r in made:
+        if r.bucket >= 0:
+            for node in r[:2]:
+                held.setdefault((r.bucket // 4, node), set()).add(r.bucket)
+    assert all(len(x) == 1 for x in held.values())
+    assert sum(r.bucket >= 0 for r in made) > len(made) / 3  # two hashes would agree on a quarter
+
+
+def test_lookups_and_start_nodes(spark):
+    from revgraph.operators import lookups
+
+    v = spark.createDataFrame([("a", "Node", "x", None), ("b", "Node", "y", ""), ("c", "Node", "y", "d")], "vertex_id string, kind string, name string, description string")
+    e = spark.createDataFrame([("1", "hasParent", "b", "a", 1.0, 2.0), ("2", "perspective", "b", "c", 1.0, 2.0), ("3", "hasParent", "c", "a", 5.0, 6.0)], "edge_id string, type string, src string, dst string, tran_start double, tran_end double")
+    ids = lambda df: sorted(r[0] for r in df.collect())
+    assert ids(lookups.by_id(v, ["a", "c"], "Node")) == ["a", "c"] and ids(lookups.by_property(v, name="y", description=None)) == ["b"]
+    assert ids(lookups.edge_by_id(e, ["2"])) == ["2"]
+    top = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert sorted(map(tuple, lookups.children(e, top, 1, 1, perspectives=True).collect())) == [("a", "b"), ("b", "c")]
+    kids = lookups.children(e, v.select(F.col("vertex_id").alias("id")), 1, 1, perspectives=True).withColumnRenamed("x", "x")
+    assert sorted(map(tuple, hierarchy.start_nodes(kids, top).collect())) == [("a", "c"), ("b", "c")]
+    seen, between = lookups.permitted(v, e, F.col("name") == "y")
+    assert ids(seen) == ["b", "c"] and ids(between) == ["2"]
+    with pytest.raises(ValueError):
+        subtree.require_alive(v, e, spark.createDataFrame([("c",)], "id string"), 1)
+    subtree.require_alive(v, e, spark.createDataFrame([("b",)], "id string"), 1)
+
+
+def test_store_refuses_the_second_writer(spark, tmp_path):
+    from revgraph.sources.store import StoreConflict
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.wipe()
+    since = store.current()
+    edges = store.tables()["edges"]
+    open_revision(store)
+    assert store.tables()["edges"] == edges  # only revisions were written
+    with pytest.raises(StoreConflict):
+        store.write({}, since)
+
+
+def test_late_sources_are_errors(spark):
+    from revgraph.plans.merge import readable
+
+    rows = [("f", 0, "source_code", ["source_code", "1", "a", "h"]), ("f", 1, "layer", ["layer", "0", "P", "P"]), ("f", 2, "source_code", ["source_code", "2", "b", "h"]), ("f", 3, "odd", ["odd"])]
+    batch, wrong, unknown = readable(spark.createDataFrame(rows, "file string, line long, kind string, fields array<string>"))
+    assert [r.id for r in batch["source_code"].collect()] == ["1"] and [tuple(r) for r in wrong.collect()] == [("f", 2, "source_code", "ERROR")] and unknown == 1
+
+
+def test_dump_becomes_a_store(spark, tmp_path):
+    from revgraph.plans.merge import import_dump
+
+    rows = [("VERTEX", {"kind": "SUPER_ROOT", "id": 1}), ("VERTEX", {"kind": "RESOURCE", "id": 5, "name": "DB", "type": "O", "description": "x"}), ("VERTEX", {"kind": "NODE", "id": 2, "name": "srv", "type": "Server"}), ("VERTEX", {"kind": "NODE", "id": 6, "name": "tab", "type": "Table"}), ("VERTEX", {"kind": "ATTRIBUTE", "id": 3, "name": "k", "value": "v"}), ("VERTEX", {"kind": "REVISION_NODE", "id": 4, "number": 1.0, "committed": True, "commit_time": "t", "previous": -1.0, "next": -1.0})]
+    rows += [("EDGE", {"src": a, "dst": b, "type": t, "tran_start": 1.0, "tran_end": 1.999999, "props": {}}) for a, b, t in ((5, 1, "hasResource"), (2, 5, "hasResource"), (6, 2, "hasParent"), (6, 3, "hasAttribute"))]
+    (tmp_path / "d.zip").write_bytes(write_dump(rows))
+    store = Store(spark, str(tmp_path / "store"))
+    store.wipe()
+    import_dump(store, str(tmp_path / "d.zip"))
+    assert store.read()["revisions"].first()["number"] == 1
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("layer,0,P,P\nresource,2,DB,O,x,0\nnode,3,,srv,Server,2\nnode,4,3,tab,Table,2\nnode,5,3,new,Table,2\nnode_attribute,4,k,v\n")
+    number = open_revision(store)
+    report = merge_files(store, str(tmp_path / "in"), number).first()
+    assert report.existed_objects["node"] == 2 and report.new_objects["node"] == 1 and report.existed_objects["node_attribute"] == report.existed_objects["resource"] == 1

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from revgraph.plans import catalogue
+from revgraph.plans import catalogue, merge_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
