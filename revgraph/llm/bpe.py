@@ -2,10 +2,12 @@
 
 The merge list fixes how far a symbol not yet read can reach back: a merge can be undone only by a chain of merges of
 ever later rank, each taking away the right-hand part of the one before. `sufficient_lookahead` follows these chains
-through the list once. The transducer holds that many symbols, tokenises what it holds, and emits every token that
+through the list once. The transducer holds back that many symbols, tokenises what it holds, and emits every token that
 ends before the held-back symbols: such tokens are final, and what follows a token border does not depend on what
-precedes it. Memory stays constant however long a word is; short words fit into the window and recur, so their
-results are kept in a bounded table. Decoding is an incremental state machine from ids to text.
+precedes it. The end of a word ends all its tokens, so a word that is shorter than the lookahead leaves the window there;
+such words recur, and their results are kept in a bounded table. Texts pass in segments that end at white space, and ids
+leave in pieces that are hashed, counted and fed to the decoder one by one: beside the text itself memory is constant.
+Decoding is an incremental state machine from ids to text.
 
 The model is word_bpe_49k.json: special tokens are found in the raw text; the rest is normalised (NFC, white space,
 lower case), split into words, mapped to bytes and merged. Null texts count as empty; null doc_ids and repeated rows
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from revgraph.llm.common import arrow_schema, gathered, text_column, tokenizer_path
 
 CACHE_WORDS = 400_000
+#: Characters of a segment, which goes on to the next white space, and ids of a piece.
+SEGMENT, PIECE = 1 << 16, 1 << 14
 #: White space by the Unicode property, as the model's patterns mean it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -81,10 +85,14 @@ class Transducer:
                     heapq.heappush(heap, (r, left, parts[left], parts[right]))
         return [p for p in parts if p is not None]
 
-    def encode(self, symbols: Iterable[str], suffix: str = "", block: int = 4096) -> Iterator[str]:
-        """Tokens of a word, each as soon as it is final; the last symbol gets the suffix."""
+    def encode(self, symbols: Iterable[str], suffix: str = "", block: int | None = None) -> Iterator[str]:
+        """Tokens of a word, each as soon as it is final; the last symbol gets the suffix.
+
+        Beside the lookahead the window takes `block` symbols, by default as many again, so that tokenising anew what is
+        held back costs each symbol twice.
+        """
         held: list[str] = []
-        size = self.lookahead + block
+        size = self.lookahead + (self.lookahead if block is None else block)
         for s in symbols:
             held.append(s)
             if len(held) > size + 1:
@@ -125,22 +133,22 @@ class Decoder:
     again: word ends become spaces and incomplete UTF-8 sequences wait in the state for their rest.
     """
 
-    def __init__(self, tokens: dict[int, str], readable: bool = False, suffix: str = "</w>"):
+    def __init__(self, tokens: list[str | None], readable: bool = False, suffix: str = "</w>"):
         self.tokens, self.readable, self.suffix = tokens, readable, suffix
         self.begun = False
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
         self.bytes = {c: b for b, c in enumerate(byte_symbols())} if readable else {}
 
     def feed(self, ids: Iterable[int]) -> str:
+        table, size = self.tokens, len(self.tokens)
+        known = [t for i in ids if 0 <= i < size and (t := table[i]) is not None]
+        if not known:
+            return ""
+        if not self.readable:
+            before, self.begun = " " if self.begun else "", True
+            return before + " ".join(known)
         out = []
-        for i in ids:
-            token = self.tokens.get(i)
-            if token is None:
-                continue
-            if not self.readable:
-                out.append(" " + token if self.begun else token)
-                self.begun = True
-                continue
+        for token in known:
             end = token.endswith(self.suffix)
             body = token.removesuffix(self.suffix) if end else token
             out.append(self.state.decode(bytes(self.bytes[c] for c in body)))
@@ -168,26 +176,26 @@ class WordBpe:
         self.vocabulary: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in self.vocabulary.items()} | {i: t for t, i in self.special.items()}
+        ids = self.vocabulary | self.special
+        self.tokens: list[str | None] = [None] * (max(ids.values()) + 1)
+        for t, i in ids.items():
+            self.tokens[i] = t
         self.transducer = Transducer([tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]])
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.symbols = byte_symbols()
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
         self.id_bytes = {t: i.to_bytes(4, "little") for t, i in self.vocabulary.items()}
 
-    def decoded(self, tokens: list[str]) -> bytes:
-        return " ".join(tokens).encode()
-
-    def word(self, w: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit integers, and the decoded UTF-8 text, of one word."""
-        symbols = (self.symbols[b] for b in w.encode())
-        tokens = list(self.transducer.encode(symbols, self.suffix))
-        made = b"".join([self.id_bytes[t] for t in tokens]), self.decoded(tokens)
-        if len(w) <= 64:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            self.known[w] = made
+    def word(self, w: str) -> Iterator[bytes]:
+        """The ids of one word as little-endian 32-bit integers, as soon as they are final."""
+        return map(self.id_bytes.__getitem__, self.transducer.encode((self.symbols[b] for b in w.encode()), self.suffix))
+
+    def short(self, w: str) -> bytes:
+        made = b"".join(self.word(w))
+        if len(self.known) >= CACHE_WORDS:
+            self.known.clear()
+        self.known[w] = made
         return made
 
     def normal(self, text: str) -> str:
@@ -197,19 +205,49 @@ class WordBpe:
             text = text.replace("Σ", "σ")  # characters are lower-cased one by one, without a final form
         return text.lower()  # words never hold white space, so its runs need no replacing
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
+    def stream(self, text: str, segment: int = SEGMENT) -> Iterator[bytes]:
+        """The ids of a text in pieces."""
+        get, out = self.known.get, []
+        for part in segments(text, segment):
+            for x in self.split.split(part) if "<|" in part else (part,):
+                if x in self.special:
+                    out.append(self.special[x].to_bytes(4, "little"))
+                    continue
+                for w in self.words.findall(self.normal(x)):
+                    if len(w) <= 64:
+                        out.append(get(w) or self.short(w))
+                        continue
+                    for i in self.word(w):
+                        out.append(i)
+                        if len(out) >= PIECE:
+                            yield b"".join(out)
+                            out = []
+            if out:
+                yield b"".join(out)
+                out = []
+
+    def decoder(self) -> Decoder:
+        return Decoder(self.tokens)
+
+    def encode(self, text: str, segment: int = SEGMENT) -> tuple[bytes, bytes]:
         """Ids as bytes, and the decoded text as UTF-8, of a whole text."""
-        ids, decoded, get = [], [], self.known.get
-        for part in self.split.split(text) if "<|" in text else (text,):
-            if part in self.special:
-                ids.append(np.asarray([self.special[part]], "<u4").tobytes())
-                decoded.append(part.encode())
-                continue
-            for w in self.words.findall(self.normal(part)):
-                a, b = get(w) or self.word(w)
-                ids.append(a)
-                decoded.append(b)
-        return b"".join(ids), b" ".join(decoded)
+        pieces, decoder = list(self.stream(text, segment)), self.decoder()
+        return b"".join(pieces), "".join(decoder.feed(np.frombuffer(x, "<u4").tolist()) for x in pieces).encode()
+
+
+_WHITE = regex.compile(r"[\t\n\r ]")
+
+
+def segments(text: str, size: int) -> Iterator[str]:
+    """A text in parts that end at white space of ASCII: normal forms, special tokens and words do not reach across it."""
+    at = 0
+    while len(text) - at > size:
+        found = _WHITE.search(text, at + size)
+        if not found:
+            break
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:] if at else text
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -222,10 +260,14 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for t in gathered(batches, 4 << 20, 4000):
             n, ids, decoded = [], [], []
             for x in t.column("text"):
-                a, b = model.encode(x.as_py())
-                n.append(len(a) // 4)
-                ids.append(hashlib.sha256(a).hexdigest())
-                decoded.append(hashlib.sha256(b).hexdigest())
+                count, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), model.decoder()
+                for piece in model.stream(x.as_py()):
+                    count += len(piece) // 4
+                    of_ids.update(piece)
+                    of_text.update(decoder.feed(np.frombuffer(piece, "<u4").tolist()).encode())
+                n.append(count)
+                ids.append(of_ids.hexdigest())
+                decoded.append(of_text.hexdigest())
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()).mapInArrow(run, ddl)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from revgraph.llm import common, exact_dedup, html_extract, jaccard, suffix_dedup
+from revgraph.llm import bpe, common, exact_dedup, html_extract, jaccard, suffix_dedup
 from tests.llm.test_operators import brute_components, brute_removals
 
 
@@ -172,3 +172,21 @@ def test_clashing_columns_stay(spark):
     assert {r.doc_id for r in near.collect()} == {i for i, _ in texts if root[i] == i}
     kept = [(r.doc_id, r.text.lower()) for r in exact.collect()]
     assert sorted(kept) == sorted({(max(i for i, u in texts if u.lower() == t.lower()), t.lower()) for _, t in texts})
+
+
+@pytest.mark.parametrize("segment", [1, 40, 1 << 16])
+def test_bpe_in_segments(segment):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = common.tokenizer_path("word_bpe_49k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), bpe.WordBpe(path)
+    library.no_truncation()
+    library.no_padding()
+    rng = random.Random(5)
+    n = own.transducer.lookahead
+    long = ["".join(rng.choice(["ing", "tion", "er", "a", "ss", "lll", "th"]) for _ in range(3 * n))[:size] for size in (n - 1, n, n + 1, 2 * n, 2 * n + 1, 3 * n)]
+    texts = ["", " ", "e\u0301 e\n\u0301 a\u0301\tb <|endoftext|>x <|endoftext|> <|end oftext|>", " ".join(long), "Don't  we'll\r\n\x0b\x0c ... 12 x\u3000y\u00a0z", long[0] + "<|startoftext|>" + long[1], "ΑΣ Σ\nΑΣ", "".join(rng.choice(["a", " ", "\n", "é", "<|", "endoftext", "|>", "'s", "1", "中"]) for _ in range(3000))]
+    for x in texts:
+        ids, decoded = own.encode(x, segment)
+        want = library.encode(x, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert decoded.decode() == library.decode(want, skip_special_tokens=False)
