@@ -18,7 +18,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revgraph.llm.common import arrow_schema, cut, fresh_path
@@ -28,8 +28,23 @@ SKIPPABLE = 0x184D2A5D
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark resolves it on, the default one where it has none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def open_store(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pa.fs.LocalFileSystem(), uri)
+    """The file system and path of a URI, as write_archives() makes it of any path; what Arrow cannot reach is refused.
+
+    Only a caller of Writer itself may name a local folder by its bare path.
+    """
+    scheme, colon, rest = uri.partition(":")
+    if not colon:
+        return pa.fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return pa.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pa.fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to, date: str = "2024-01-01T00:00:00Z") -> bytes:
@@ -125,6 +140,7 @@ def read_archive(uri: str):
 
 def write_archives(pages: DataFrame, out: str, min_bytes: int = 100, archive_bytes: int = 256 << 20, sample_bytes: int = 1 << 20, dictionary_bytes: int = 32 << 10) -> DataFrame:
     """Write all pages and return the manifest: path, records, bytes."""
+    out = qualified(pages.sparkSession, out)
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     slim = read.where(F.octet_length("html") >= min_bytes).select("page_id", "digest")
     first = slim.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
@@ -180,4 +196,5 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 def archive(pages: DataFrame, out: str | None = None) -> DataFrame:
     """Write the archives, then read them back."""
-    return read_archives(write_archives(pages, out or fresh_path(pages.sparkSession, "warc")))
+    spark = pages.sparkSession
+    return read_archives(write_archives(pages, out or fresh_path(spark, "warc")))
