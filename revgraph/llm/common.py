@@ -431,8 +431,17 @@ def _folded(x: np.ndarray) -> np.ndarray:
     return np.where(x >= _P, x - _P, x)
 
 
+#: Numbers that are multiplied at once, which bounds what is held between the steps.
+STEP = 1 << 16
+
+
 def times_p(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products modulo 2**61 - 1 of numbers below it."""
+    if len(a) > STEP:
+        out = np.empty(len(a), np.uint64)
+        for k in range(0, len(a), STEP):
+            out[k : k + STEP] = times_p(a[k : k + STEP], b if len(b) == 1 else b[k : k + STEP])
+        return out
     a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
     middle = a0 * b1 + a1 * b0
     return _folded(np.uint64(2) * a1 * b1 + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + a0 * b0)
@@ -452,12 +461,14 @@ class PrimeHash:
         else:
             made = PrimeHash._powers
         words = np.random.default_rng(seed).integers(1, int(_P), size=256, dtype=np.uint64)
-        counted = times_p(words[data], made[0][: n - 1])
         self.inverses = made[1]
-        high, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        np.cumsum(counted >> np.uint64(31), out=high[1:])
-        np.cumsum(counted & _LOW31, out=low[1:])
-        self.sums = _folded(_folded(times_p(_folded(high), np.full(1, 1 << 31, np.uint64))) + _folded(low))
+        self.sums = np.zeros(n, np.uint64)
+        high = low = np.uint64(0)
+        for k in range(0, n - 1, STEP):
+            counted = times_p(words[data[k : k + STEP]], made[0][k : k + len(data[k : k + STEP])])
+            highs, lows = np.cumsum(counted >> np.uint64(31)) + high, np.cumsum(counted & _LOW31) + low
+            high, low = highs[-1], lows[-1]
+            self.sums[k + 1 : k + 1 + len(counted)] = _folded(times_p(_folded(highs), np.full(1, 1 << 31, np.uint64)) + _folded(lows))
 
     @staticmethod
     def _made(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -234,7 +234,7 @@ def _settle(window: int):
 
     def run(batches):
         held = None
-        for t in gathered(batches, 2 << 20, 1 << 30):
+        for t in gathered(batches, 1 << 19, 1 << 30):
             held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
             kh = np.asarray(held.column("kh"))
             whole = int(np.searchsorted(kh, kh[-1]))  # the last group may go on
