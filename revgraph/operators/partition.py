@@ -47,3 +47,42 @@ def edge_buckets(edges: DataFrame, n: int, src: str = "src", dst: str = "dst", r
     for x in parts:
         out = out.unionByName(x)
     return out
+
+
+def neighbourhood_buckets(edges: DataFrame, n: int, src: str = "src", dst: str = "dst", rounds: int = 8, hops: int = 2, apart=None) -> DataFrame:
+    """Edges with a bucket: no node of a bucket is in, or next to a node of, another bucket of its round.
+
+    In each round nodes take the smallest hash within so many hops as their cluster, and clusters hash to n groups. A
+    node with a neighbour of another group is on the border; edges whose two ends lie inside a group are placed, the
+    others are split anew with fresh hashes until they are few or hardly fewer. Neighbours are those of all edges but
+    the ones that meet the condition `apart` (perspectives, say), which get bucket -2. Bucket -1 holds what is left.
+    """
+    free = edges if apart is None else edges.where(~F.coalesce(apart, F.lit(False)))
+    left = materialize(free)
+    pairs = left.select(F.col(src).alias("node"), F.col(dst).alias("other")).where("node is not null and other is not null")
+    near = materialize(pairs.unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    size, parts = left.count(), []
+    for k in range(rounds):
+        if not size:
+            break
+        own = near.select("node").distinct().withColumn("label", F.xxhash64("node", F.lit(k)))
+        for _ in range(hops):
+            seen = near.join(own.withColumnRenamed("node", "other"), "other").select("node", "label")
+            own = own.unionByName(seen).groupBy("node").agg(F.min("label").alias("label"))
+        groups = materialize(own.select("node", F.pmod(F.xxhash64("label"), F.lit(n)).cast("int").alias("group")))
+        beside = near.join(groups.withColumnsRenamed({"node": "other", "group": "beside"}), "other").groupBy("node").agg(F.min("beside").alias("low"), F.max("beside").alias("high"))
+        inside = groups.join(beside, "node").where("low = group and high = group").select("node", "group")
+        a, b = inside.withColumnsRenamed({"node": src, "group": "group_a"}), inside.withColumnsRenamed({"node": dst, "group": "group_b"})
+        placed = materialize(left.join(a, src, "left").join(b, dst, "left"))
+        both = F.coalesce(F.col("group_a") == F.col("group_b"), F.lit(False))
+        parts.append(placed.where(both).withColumn("bucket", F.col("group_a") + k * n).select(*edges.columns, "bucket"))
+        left = placed.where(~both).select(*edges.columns)
+        before, size = size, left.count()
+        if size < LEAST_REST or before - size < before / LEAST_SHARE:
+            break
+    out = left.withColumn("bucket", F.lit(-1))
+    if apart is not None:
+        out = out.unionByName(edges.where(F.coalesce(apart, F.lit(False))).withColumn("bucket", F.lit(-2)))
+    for x in parts:
+        out = out.unionByName(x)
+    return out

@@ -322,6 +322,20 @@ def edge_buckets(spark, d):
     return made.agg(F.count("*").alias("edges"), (F.count(F.when(F.col("bucket") >= 0, 1)) > 0).alias("some_placed")).crossJoin(shared).select("edges", "shared_nodes", "some_placed")  # one row and one row
 
 
+@query("SELECT count(*) AS edges, count(*) FILTER (WHERE type = 'perspective') AS apart, 0 AS touching FROM (SELECT src, dst, type FROM {lg_edge} UNION ALL SELECT src, dst, 'perspective' FROM {lg_perspective_all})")
+def neighbourhood_buckets(spark, d):
+    """Buckets of edges such that no node of one is next to a node of another of its round; perspectives apart."""
+    from revgraph.sources.store import materialize
+
+    rows = view(spark, d, "lg_edge").select("src", "dst", "type").unionByName(view(spark, d, "lg_perspective_all").select("src", "dst", F.lit("perspective").alias("type")))
+    made = materialize(partition.neighbourhood_buckets(rows, 4, apart=F.col("type") == "perspective"))
+    nodes = made.where("bucket >= 0").select(F.floor(F.col("bucket") / 4).alias("round"), "bucket", F.explode(F.array("src", "dst")).alias("src")).distinct()
+    others = nodes.select("round", F.col("bucket").alias("beside"), F.col("src").alias("dst"))
+    near = made.where("bucket <> -2").select("src", "dst").distinct()
+    touching = near.join(nodes, "src").join(others, ["round", "dst"]).where("bucket <> beside").agg(F.count("*").alias("touching"))
+    return made.agg(F.count("*").alias("edges"), F.count(F.when(F.col("bucket") == -2, 1)).alias("apart")).crossJoin(touching)  # one row and one row
+
+
 def _written(spark: SparkSession, d: str, name: str) -> str:
     import uuid
 

@@ -269,6 +269,30 @@ def test_edge_buckets_share_no_node(spark):
     assert sum(r.bucket >= 0 for r in made) > len(made) / 3  # two hashes would agree on a quarter
 
 
+def test_neighbourhood_buckets_do_not_touch(spark):
+    from revgraph.operators.partition import neighbourhood_buckets
+
+    stars = [(f"hub{i % 60}", f"leaf{i}", "flow") for i in range(1800)] + [(f"leaf{i}", f"leaf{i + 1}", "flow") for i in range(0, 1800, 400)]
+    e = spark.createDataFrame([*stars, ("hub0", "hub1", "perspective"), ("hub2", None, "flow")], "src string, dst string, type string")
+    made = neighbourhood_buckets(e, 4, apart=F.col("type") == "perspective").collect()
+    assert len(made) == e.count()
+    assert [r[:2] for r in made if r.bucket == -2] == [("hub0", "hub1")]
+    near, held = {}, {}
+    for r in made:
+        if r.bucket != -2 and r.dst is not None:
+            near.setdefault(r.src, set()).add(r.dst)
+            near.setdefault(r.dst, set()).add(r.src)
+        if r.bucket >= 0:
+            for node in r[:2]:
+                held.setdefault((r.bucket // 4, node), set()).add(r.bucket)
+    assert all(len(x) == 1 for x in held.values())
+    for (k, node), own in held.items():
+        assert all(held.get((k, other), own) == own for other in near[node])
+    assert sum(r.bucket >= 0 for r in made) > len(made) / 2
+    none = neighbourhood_buckets(e.limit(0), 4)
+    assert none.columns == [*e.columns, "bucket"] and none.count() == 0
+
+
 def test_lookups_and_start_nodes(spark):
     from revgraph.operators import lookups
 
