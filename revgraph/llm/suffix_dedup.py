@@ -46,6 +46,8 @@ _WORD = re.compile(r"\S+")
 SEGMENT = 1 << 20
 #: Ids up to which a list of documents is broadcast (8 bytes each); beyond, it joins by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Spans from which a class of equal ones is common: its rows meet the class where they lie, or over SALTS tasks.
+COMMON, SALTS = 1_000, 64
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -263,6 +265,23 @@ def _few(ids: DataFrame):
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _of_classes(spans: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The spans whose class is in repeated (kh, sh, n); those of one common class never gather in one task."""
+    key = ["kh", "sh"]
+    common = cut(repeated.where(F.col("n") >= COMMON).select(key))
+    n_common = common.count()
+    if not n_common:
+        return spans.join(repeated.select(key), key, "left_semi")
+    if n_common <= BROADCAST_IDS:
+        common = F.broadcast(common)
+    else:
+        key = [*key, "salt"]
+        spans = spans.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)).cast("int"))
+        common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rare = spans.join(common, key, "left_anti").join(repeated.where(F.col("n") < COMMON).select("kh", "sh"), ["kh", "sh"], "left_semi")
+    return spans.join(common, key, "left_semi").unionByName(rare)
+
+
 def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, ranges): the byte ranges of repeated windows in texts (doc_id, text), one row for each different text."""
     spans = stored(map_tables(texts, _anchor_rows(window, gram), "doc_id long, kh long, sh binary, first int, last int, p int"), "spans")
@@ -270,7 +289,7 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     shared = stored(spans.join(_few(cut(again)), "kh", "left_semi"), "shared")  # stored, so a hot anchor's partition can be split
     discard(spans)
     classes = cut(shared.groupBy("kh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "last", "p")).alias("rep")))
-    whole = shared.join(classes.where("n > 1").select("kh", "sh"), ["kh", "sh"], "left_semi").select("doc_id", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
+    whole = _of_classes(shared, classes.where("n > 1")).select("doc_id", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
     mixed_groups = classes.groupBy("kh").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("kh", (F.col("kinds") > hot).alias("hot"))
     asked = classes.join(mixed_groups, "kh").select("rep.*", "kh", (F.col("n") == 1).alias("single"), "hot")
     asked = cut(asked.groupBy("doc_id").agg(F.collect_list(F.struct("kh", "first", "last", "p", "single", "hot")).alias("asked")))  # a document's own spans

@@ -74,6 +74,19 @@ def test_suffix_dedup_of_repeated_ids(spark, hot):
     assert sorted(map(tuple, got), key=key) == sorted(((i, *w) for (i, _), w in zip(texts, want, strict=True)), key=key)
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_suffix_dedup_of_common_passages(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(suffix_dedup, "COMMON", 4)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", broadcast)
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    very, some = text(300), text(200)
+    texts = [(i, text(50) + very * (1 + i % 3) + text(80) + some * (i < 3)) for i in range(12)] + [(20, "ab" * 400), (21, text(500))]
+    want = brute_removals([t.encode() for _, t in texts], 60)
+    got = suffix_dedup.removals(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), 60, 8).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *w) for (i, _), w in zip(texts, want, strict=True))
+
+
 def brute_texts(pages):
     """The rule of the host suffix array, by counting every run of every page in one place."""
     run, share = html_extract.RUN, html_extract.CORE
