@@ -377,3 +377,21 @@ def test_dump_becomes_a_store(spark, tmp_path):
     number = open_revision(store)
     report = merge_files(store, str(tmp_path / "in"), number).first()
     assert report.existed_objects["node"] == 2 and report.new_objects["node"] == 1 and report.existed_objects["node_attribute"] == report.existed_objects["resource"] == 1
+
+
+def test_merge_makes_shared_keys_once(spark):
+    """Records of edge attributes meet stored keys of edges; the joins and paths behind them are not made anew."""
+    from revgraph.operators.consolidate import resolve
+    from revgraph.plans.merge import readable
+    from revgraph.sources.store import Scratch, materialize
+
+    rows = [(0, ["layer", "0", "P", "P"]), (1, ["resource", "r", "DB", "Oracle", "", "0"]), (2, ["node", "a", "", "a", "T", "r"]), (3, ["node", "b", "a", "b", "T", "r"]), (4, ["edge", "e", "a", "b", "DIRECT", "r"]), (5, ["edge_attribute", "e", "K", "v"]), (6, ["strange", "x"])]
+    scratch = Scratch(spark)
+    records = spark.createDataFrame([("f", line, x[0], x) for line, x in rows], "file string, line long, kind string, fields array<string>")
+    batch, wrong, unknown = readable(scratch.by_kind(records))
+    found = resolve(batch, scratch.keep)["edge_attribute"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert "PartitionFilters: [isnotnull(kind" in batch["edge"]._jdf.queryExecution().executedPlan().toString()
+    got = materialize(found).first()
+    assert got["nkey"] and got["owner_key"] and unknown == 1 and not wrong.head(1)
+    scratch.remove()
