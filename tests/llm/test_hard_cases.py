@@ -203,3 +203,21 @@ def test_bpe_in_segments(segment):
         want = library.encode(x, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
         assert decoded.decode() == library.decode(want, skip_special_tokens=False)
+
+
+def test_anchors_hold_little_beside_the_texts():
+    """Long buffers are hashed in segments small enough for the workers of a pipeline, which hold other models too."""
+    import tracemalloc
+
+    import numpy as np
+
+    from revgraph.llm import suffix_dedup
+
+    data = np.random.default_rng(1).integers(97, 123, 2 << 20, dtype=np.uint8)
+    offsets = np.arange(0, len(data) + 1, 2048)
+    suffix_dedup.anchors(data[: 1 << 16], offsets[:33])  # powers are made
+    tracemalloc.start()
+    suffix_dedup.anchors(data[: 1 << 20], offsets[:513])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
