@@ -131,6 +131,25 @@ def test_scan(spark, tmp_path):
     assert late_sources(scan(spark, str(tmp_path))).count() == 2
 
 
+def test_parts_of_a_folder_are_one_file(spark, tmp_path):
+    """Records of equal lines are dealt to several parts, and what reads them sees one file in its order."""
+    from revgraph.sources.batch import write_records
+
+    rows = [("f", 0, ["source_code", "1", "a", "h"]), *[("f", 3, ["node", str(i), "", 'a"\\b\nc', "T", "2"]) for i in range(400)], ("f", 9, ["edge_attribute", "e", "K", "v"])]
+    records = spark.createDataFrame(rows, "file string, line long, fields array<string>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_records(records, str(tmp_path / "one"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "one").glob("part-*"))) > 1
+    found = scan(spark, [str(tmp_path / "one")], parts=True)
+    got = sorted(found.collect(), key=lambda r: r.line)
+    assert len({r.file for r in got}) == 1 and len({r.line for r in got}) == len(rows)
+    assert [r.kind for r in got] == [x[2][0] for x in rows] and late_sources(found).count() == 0
+    assert sorted(tuple(r.fields) for r in got) == sorted(tuple(x[2]) for x in rows)
+
+
 def test_revisions(spark):
     r = empty(spark)["revisions"]
     r, n = catalogue.create_major(r)
