@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from revgraph.llm import bpe, embedding_dedup, exact_dedup, html_extract, jaccard, packing, sharding, suffix_dedup, toxicity, warc
+from revgraph.llm import bpe, common, embedding_dedup, exact_dedup, html_extract, jaccard, packing, sharding, suffix_dedup, toxicity, warc
 from revgraph.llm.common import components, ranked, tokenizer_path
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, fp string, digest string, key string, n int, id string, bytes string, piece int, start int, score int"
@@ -487,3 +487,19 @@ def test_html_judges_marked_articles(spark):
     got = html_texts(spark, pages)
     assert got[:4] == [f"Same head\n{t}" for t in own]
     assert got[4:] == [f"{story}\nSeen {i}" for i in range(3)]
+
+
+@pytest.mark.parametrize("keep", [common.cut, lambda df: common.stored(df, "sizes")])
+def test_batches_of_long_texts_are_small(spark, keep):
+    """A stored step never gets thousands of whole texts at once; the caller's setting stays."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    got = keep(texts.mapInArrow(sizes, "n long, size long")).collect()
+    assert sum(r["n"] for r in got) == 200 and max(r["size"] for r in got) <= common.BATCH_BYTES + 1_000_000
+    assert spark.conf.get(key) == before
