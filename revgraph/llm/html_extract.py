@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgraph.llm.common import ENTRY, arrow_schema, cut, discard, gathered, mixed, pieces_of, release_memory, shared_keys, sliding_min, stored, word_hashes
+from revgraph.llm.common import ENTRY, arrow_schema, cut, discard, gathered, mixed, pieces_of, release_memory, shared_keys, sliding_min, stored, tidy, word_hashes
 
 RUN, GRAM = 8, 4
 #: Share of a content's runs up to its base.
@@ -313,6 +313,7 @@ def level(levels, total, start):
 
 def boilerplate(read: DataFrame) -> DataFrame:
     """page_key, covered (structs of a block's id and the tokens at which boilerplate runs begin; null: the whole block)."""
+    spark = read.sparkSession
     known = stored(contents(read), "contents")
     low = known.groupBy("content").agg(F.min("page_key").alias("page_key"), F.max("page_key").alias("high")).where("page_key <> high").select("content", F.col("page_key").alias("kept"))
     spare = cut(known.select("content", "page_key").join(low, "content").where("page_key <> kept").select("page_key"))
@@ -326,17 +327,22 @@ def boilerplate(read: DataFrame) -> DataFrame:
     count = max(1, known.agg(F.sum("total")).first()[0] or 0) // 3  # about a third of the suffixes are the first of their anchor
     shared = shared_keys(read.select("page_key", "url", "html", "skip"), _anchors, count)
     asked = cut(shared.groupBy(F.col("id").alias("page_key")).agg(F.collect_set("piece").alias("held")))
+    tidy(spark, wait=True)  # the routed anchors
     step, ddl = _suffixes(count)
     suffixes = stored(read.join(_few(asked, "held"), "page_key").select("page_key", "url", "html", "skip", "held").mapInArrow(step, ddl), "suffixes")
     order = ["host", "suffix", "block", "token"]
     runs = stored(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_common, "run long, block long, token int, size int"), "runs")
     discard(suffixes)
+    tidy(spark, wait=True)  # the sorted suffixes
     # levels: how many contents hold each run, and each block's and content's rarest text
     pages = several.select("block", "pages")
     pairs = runs.groupBy("run", "block").agg(F.size(F.collect_set("token")).alias("n"), F.max("size").alias("size")).join(pages, "block", "left").withColumn("pages", F.coalesce("pages", F.lit(1)))
     pairs = cut(pairs)
+    tidy(spark, wait=True)
     held = pairs.groupBy("run").agg(F.sum("pages").alias("h"), F.count("*").alias("blocks")).where("blocks > 1").select("run", "h")
     pairs = cut(pairs.join(held, "run"))
+    del held
+    tidy(spark, wait=True)
     rarest = pairs.where("size > 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("h", "n"))).alias("levels"), F.sum("n").alias("shared"), F.max("size").alias("size"), F.max("pages").alias("pages"))
     rarest = rarest.select("block", level(F.col("levels"), F.col("size"), (F.col("pages"), F.col("size") - F.col("shared"))).alias("h"))
     special = cut(several.select("block", F.col("pages").cast("double").alias("pages")).join(rarest, "block", "full").select("block", F.coalesce("h", "pages").alias("h")).unionByName(pairs.where("size = 0").select("block", F.lit(1.0).alias("h"))).groupBy("block").agg(F.max("h").alias("h")))
@@ -350,6 +356,8 @@ def boilerplate(read: DataFrame) -> DataFrame:
     weights = cut(weighed.groupBy("block").agg(F.sum("w").alias("w"), F.max("need").alias("need"), F.max("size").alias("size")))
     maybe = pairs.select("run", "block").join(weights, "block").groupBy("run").agg(F.sum("w").alias("w"), F.max("need").alias("need")).where("w >= need").select("run")
     maybe = cut(pairs.select("run", "block").join(maybe, "run", "left_semi"))
+    del pairs, rarest, special, held_by, base, few_hosts
+    tidy(spark, wait=True)
     gone = maybe.join(weighed, "block").groupBy("run", "content").agg(F.max("w").alias("w"), F.max("need").alias("need")).groupBy("run").agg(F.sum("w").alias("w"), F.max("need").alias("need")).where("w >= need").select("run")
     parts = runs.where("size > 0").join(gone, "run", "left_semi").groupBy("block").agg(F.collect_set("token").alias("tokens"))
     cover = weights.where("size > 0 and w >= need").select("block", F.lit(True).alias("whole")).join(parts, "block", "full").select("block", F.when(F.col("whole").isNull(), F.col("tokens")).alias("tokens"))

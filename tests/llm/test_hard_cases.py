@@ -1,6 +1,8 @@
 """Rows on which weak hashes, keys that repeat, clashing column names or one very common value would go wrong."""
 
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -232,3 +234,38 @@ def test_entries_that_are_routed_compress():
     assert (common.unpacked_entries(packed) == made).all() and not len(common.unpacked_entries(common.packed_entries(made[:0])))
     plain = b"".join(made[c].tobytes() for c in common.ENTRY.names)
     assert 2 * len(zlib.compress(packed, 1)) < len(zlib.compress(plain, 1))
+
+
+def test_html_leaves_no_dead_shuffles(spark, monkeypatch):
+    """Shuffle files of ended steps go before the next large step writes its own: they were most of op10's disk."""
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs())
+
+    def shuffled():
+        files = [f"{d}/{x}" for top in folders for d, _, names in os.walk(str(top)) for x in names if x.startswith("shuffle_") and x.endswith(".data")]
+        return {x: os.path.getsize(x) for x in files if os.path.exists(x)}
+
+    known, most, left, cut, stored = shuffled(), [0], [], common.cut, common.stored
+    own = lambda: sum(n for x, n in shuffled().items() if x not in known)
+
+    def cut_and_seen(df):
+        out = cut(df)
+        most[0] = max(most[0], own())
+        return out
+
+    def stored_later(df, name):
+        if name == "suffixes":
+            until = time.time() + 5
+            while own() > 0.25 * most[0] and time.time() < until:  # the cleaner works beside the driver
+                time.sleep(0.1)
+            left.append(own())
+        return stored(df, name)
+
+    monkeypatch.setattr(html_extract, "cut", cut_and_seen)
+    monkeypatch.setattr(html_extract, "stored", stored_later)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, f"http://h{i % 2}/{i}", f"<p>{' '.join(rng.choices(words, k=900))}</p><p>one two three four five six seven eight {i}</p>") for i in range(80)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_extract.extract(d).count() == 80
+    assert most[0] > 100_000
+    assert left[0] <= 0.25 * most[0]
