@@ -1,6 +1,7 @@
 """The merge engine on small batches: every kind new, again, changed and wrong; flags, perspectives and mappings."""
 
 import base64
+import os
 import struct
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -398,6 +399,33 @@ def test_dump_becomes_a_store(spark, tmp_path):
     assert report.existed_objects["node"] == 2 and report.new_objects["node"] == 1 and report.existed_objects["node_attribute"] == report.existed_objects["resource"] == 1
 
 
+@pytest.mark.parametrize("bytes_", [1, 10**9])
+def test_merge_leaves_no_table_that_is_not_read(spark, monkeypatch, bytes_):
+    """Tables of a merge that were read for the last time are gone: the records, what they were resolved by, the batch.
+    Joins in slices, steps one after the other, give what one join gives."""
+    from revgraph.plans import merge as plans
+    from revgraph.plans.merge import Merge, consolidated, readable
+    from revgraph.sources import store
+    from revgraph.sources.store import merge_scratch
+
+    rows = [(0, ["layer", "0", "P", "P"]), (1, ["resource", "r", "DB", "Oracle", "", "0"]), (2, ["node", "a", "", "a", "T", "r"]), (3, ["node", "b", "a", "b", "T", "r"]), (4, ["node_attribute", "a", "k", "v"]), (5, ["edge", "e", "a", "b", "DIRECT", "r"]), (6, ["edge", "w", "a", "b", "STRANGE", "r"]), (7, ["edge_attribute", "e", "K", "v"])]
+    monkeypatch.setattr(plans, "SLICE", bytes_)
+    monkeypatch.setattr(store, "LARGE", bytes_)
+    raw, scratch, last = merge_scratch(spark), merge_scratch(spark), merge_scratch(spark)
+    records = spark.createDataFrame([("f", line, x[0], x) for line, x in rows], "file string, line long, kind string, fields array<string>")
+    ready = consolidated(readable(raw.by_kind(records))[0], keep=scratch.keep)
+    raw.remove()
+    assert len(scratch.at) == 7 and "object_id" not in ready["edge_attribute"].columns and "source" not in ready["edge"].columns
+    big = {k: ready[k].inputFiles()[0] for k in ("node", "node_attribute", "edge", "edge_attribute")}
+    out, results = Merge(empty(spark), {}, 1, 0, keep=scratch.keep, last=last.keep, ready=ready, drop=scratch.drop).run()
+    assert not [k for k, f in big.items() if os.path.exists(f.removeprefix("file://"))]
+    assert ".zstd." in out["edges"].inputFiles()[0]
+    scratch.remove()
+    assert sorted((r.item_type, r.result) for r in results.collect()) == [("edge", "ERROR"), ("edge", "NEW_OBJECT"), *[(k, "NEW_OBJECT") for k in ("edge_attribute", "layer", "node", "node", "node_attribute", "resource")]]
+    assert {r.type: dict(r.props) for r in out["edges"].collect()}["directFlow"] == {"K": "v"}
+    last.remove()
+
+
 def test_merge_makes_shared_keys_once(spark):
     """Records of edge attributes meet stored keys of edges; the joins and paths behind them are not made anew."""
     from revgraph.operators.consolidate import resolve

@@ -41,3 +41,13 @@ def test_perspective_records_meet_by_key(spark):
     for p in glob.glob(f"{DATA}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
     assert normal(made.toPandas()) == normal(con.sql(lineage.expanded("SELECT * FROM {mg_perspective}")).df())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_edge_records_are_those_of_the_view(spark):
+    """The records of edges are made without the names of their ends, which only the SQL compares."""
+    made = lineage.view(spark, DATA, "mg_edge_record")
+    con = duckdb.connect()
+    for p in glob.glob(f"{DATA}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    assert normal(made.toPandas()) == normal(con.sql(lineage.expanded("SELECT b, par, id, src, dst, type, line, ship_year FROM {mg_edge}")).df())
