@@ -1,6 +1,7 @@
 """The merge engine on small batches: every kind new, again, changed and wrong; flags, perspectives and mappings."""
 
 import base64
+import glob
 import os
 import struct
 from decimal import ROUND_HALF_UP, Decimal
@@ -426,6 +427,23 @@ def test_merge_leaves_no_table_that_is_not_read(spark, monkeypatch, bytes_):
     last.remove()
 
 
+def test_store_is_written_when_the_tables_of_the_merge_are_gone(spark, tmp_path, monkeypatch):
+    """Beside the store there is one folder of scratch tables while it is written: what the next snapshot stands on."""
+    from revgraph.sources.store import merge_scratch
+
+    (tmp_path / "a.csv").write_text("source_code,1,a,h\nlayer,0,P,P\nresource,2,DB,O,x,0\nnode,3,,srv,Server,2\nnode,4,3,tab,Table,2\nedge,5,3,4,DIRECT,2\n")
+    store, base = Store(spark, str(tmp_path / "store")), os.path.dirname(merge_scratch(spark).path).removeprefix("file:")
+    seen, folders, write = [], lambda: set(glob.glob(f"{base}/scratch-*")), Store.write
+    store.wipe()
+    number = open_revision(store)
+    before = folders()
+    monkeypatch.setattr(Store, "write", lambda self, changed, since="": (seen.append(len(folders() - before)), write(self, changed, since))[1])
+    report = merge_files(store, str(tmp_path / "a.csv"), number).first()
+    assert seen == [1] and not folders() - before
+    assert report.new_objects["node"] == 2 and list(report.requested_source_codes) == ["1"] and store.read()["edges"].where("type = 'directFlow'").count() == 1
+    assert all(".zstd." in f for f in store.read()["edges"].inputFiles())
+
+
 def test_merge_makes_shared_keys_once(spark):
     """Records of edge attributes meet stored keys of edges; the joins and paths behind them are not made anew."""
     from revgraph.operators.consolidate import resolve
